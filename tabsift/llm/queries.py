@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsift.llm import simhash
+from tabsift.llm import simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -22,3 +22,17 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op1_simhash"] = op1_simhash
+
+
+def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_kmers, positions, hashes) of every document."""
+    return syncmers.fingerprints(_documents(spark, sf_dir))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens) of every document."""
+    return tokencount.token_counts(_documents(spark, sf_dir))
+
+
+QUERIES["op2_syncmers"] = op2_syncmers
+QUERIES["op10_token_counts"] = op10_token_counts
