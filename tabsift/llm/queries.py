@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsift.llm import simhash, syncmers, tokencount
+from tabsift.llm import quality, secretscan, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,3 +36,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op2_syncmers"] = op2_syncmers
 QUERIES["op10_token_counts"] = op10_token_counts
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, lang, source) of the documents that no rule rejects."""
+    return quality.keep_good(_documents(spark, sf_dir)).select("doc_id", "lang", "source")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of a first scan, at every path."""
+    return secretscan.scan_documents(_documents(spark, sf_dir))[0]
+
+
+QUERIES["op6_quality"] = op6_quality
+ORACLE["op6_quality"] = f"SELECT doc_id, lang, source FROM documents WHERE {quality.keep_sql()}"
+QUERIES["op8_secrets"] = op8_secrets
+ORACLE["op8_secrets"] = secretscan.report_sql()
