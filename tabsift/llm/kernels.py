@@ -81,7 +81,12 @@ def _cuts(data: np.ndarray, offs: np.ndarray, inside: np.ndarray) -> list[tuple[
 
 def tokens(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every maximal run of bytes for which ``inside`` holds, in order."""
-    hashes, rows = [], []
+    return tokens_at(data, offs, inside)[:2]
+
+
+def tokens_at(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, row, place of the first byte), as tokens()."""
+    hashes, rows, places = [], [], []
     firsts = offs[:-1][offs[:-1] < offs[1:]]
     for a, b in _cuts(data, offs, inside):
         part = data[a:b]
@@ -97,10 +102,11 @@ def tokens(data: np.ndarray, offs: np.ndarray, inside: np.ndarray = WORD) -> tup
         begin = np.flatnonzero(head)
         pos = at - at[begin][np.cumsum(head) - 1]
         hashes.append(mix(np.add.reduceat(_BYTE_KEY[part[at]] * _position_keys(pos), begin)))
-        rows.append(np.searchsorted(offs, at[begin] + a, side="right") - 1)
+        places.append(at[begin] + a)
+        rows.append(np.searchsorted(offs, places[-1], side="right") - 1)
     if not hashes:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(rows)
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
 
 
 def lower(column: pa.Array | pa.ChunkedArray) -> pa.Array | pa.ChunkedArray:
