@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsift.llm import quality, secretscan, simhash, syncmers, tokencount
+from tabsift.llm import linededup, ngram_lm, quality, secretscan, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -52,3 +52,18 @@ QUERIES["op6_quality"] = op6_quality
 ORACLE["op6_quality"] = f"SELECT doc_id, lang, source FROM documents WHERE {quality.keep_sql()}"
 QUERIES["op8_secrets"] = op8_secrets
 ORACLE["op8_secrets"] = secretscan.report_sql()
+
+
+def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, removed_lines) of the documents that keep a line."""
+    return linededup.drop_repeated_lines(_documents(spark, sf_dir), removed="removed_lines").select("doc_id", "text", "removed_lines")
+
+
+def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, log_prob, perplexity) of every document, by a model of all documents."""
+    docs = _documents(spark, sf_dir)
+    return ngram_lm.score(docs, ngram_lm.train(docs))
+
+
+QUERIES["op3_linededup"] = op3_linededup
+QUERIES["op5_lm_scores"] = op5_lm_scores
