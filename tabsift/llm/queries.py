@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsift.llm import linededup, ngram_lm, quality, secretscan, simhash, syncmers, tokencount
+from tabsift.llm import htmlpaths, linededup, ngram_lm, packing, quality, secretscan, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -67,3 +67,17 @@ def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op3_linededup"] = op3_linededup
 QUERIES["op5_lm_scores"] = op5_lm_scores
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(bin_id, doc_id, piece, start_word, n_words) of every piece of every document."""
+    return packing.pack_documents(_documents(spark, sf_dir))
+
+
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, text, n_nodes, n_kept) of every page."""
+    return htmlpaths.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES["op4_packing"] = op4_packing
+QUERIES["op9_html"] = op9_html
