@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabsift.llm import htmlpaths, linededup, ngram_lm, packing, quality, secretscan, simhash, syncmers, tokencount
+from tabsift.llm import htmlpaths, linededup, mixing, ngram_lm, packing, quality, secretscan, simhash, syncmers, tokencount
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -81,3 +81,11 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op4_packing"] = op4_packing
 QUERIES["op9_html"] = op9_html
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_words, p_good, p_toxic, p_poor, rate) of every document."""
+    return mixing.document_rates(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES["op7_mixing"] = op7_mixing
