@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from tabsift.llm import linededup, mixing, packing, quality, simhash
 from tabsift.llm.common import shared_dir, stash
 
+#: After the quality rules little poor text is left to mix in.
+TARGETS = {"good": 0.97, "toxic": 0.02, "poor": 0.01}
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a quality rule rejects go."""
@@ -33,7 +36,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are repeated or go so that the domains' words meet their targets."""
-    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
