@@ -170,12 +170,12 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
     """The rows of docs, all columns, without later repeated runs; ``removed`` names a column for the lines that went."""
-    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th"), F.col("gone").alias("__gone"))
-    th, left = free_name(docs, "__th"), free_name(docs, "__left")
+    th, left, gone_id, gone_th, lost = (free_name(docs, n) for n in ("__th", "__left", "__gone_id", "__gone_th", "__gone"))
+    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), F.col("gone").alias(lost))
     t = col(text_col).cast("string")
-    joined = docs.withColumn(th, F.xxhash64(t)).join(gone, col(id_col).eqNullSafe(F.col("__gone_id")) & (col(th) == F.col("__gone_th")), "left")
-    kept = F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
-    changed = F.col("__gone").isNotNull()
+    joined = docs.withColumn(th, F.xxhash64(t)).join(gone, col(id_col).eqNullSafe(col(gone_id)) & (col(th) == col(gone_th)), "left")
+    kept = F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains(col(lost), i))
+    changed = col(lost).isNotNull()
     joined = joined.withColumn(left, F.when(changed, kept)).filter(~changed | (F.size(left) > 0))
     text = F.when(changed, F.array_join(col(left), "\n")).otherwise(t)
     out = []
@@ -187,5 +187,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             out.append(col(c))
     if removed:
-        out.append(F.coalesce("__gone", F.array().cast("array<int>")).alias(removed))
+        out.append(F.coalesce(col(lost), F.array().cast("array<int>")).alias(removed))
     return joined.select(*out)

@@ -153,11 +153,11 @@ def domain_of(quality: Column, toxic: Column) -> Column:
 
 def fit_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = LABEL_ROWS) -> Classifier:
     """Fit on the labelled documents with the ``rows`` least hashes of their id, at most."""
-    few = labels.select(F.col("doc_id").alias("__l"), domain_of(F.col("quality"), F.col("toxic")).alias("__y")).filter("__l IS NOT NULL AND __y IS NOT NULL")
-    few = few.orderBy(F.xxhash64("__l"), "__l", "__y").limit(rows)
+    few = labels.select(F.col("doc_id").alias("id"), domain_of(F.col("quality"), F.col("toxic")).alias("y")).filter("id IS NOT NULL AND y IS NOT NULL")
+    few = few.orderBy(F.xxhash64("id"), "id", "y").limit(rows)
     # broadcast: the limit above bounds it to some 100 kB
-    texts = docs.join(F.broadcast(few), col(id_col) == F.col("__l")).select(col(text_col).cast("string").alias("text"), F.xxhash64(col(id_col), col(text_col)).alias("h"), "__y")
-    got = texts.orderBy("h", "__y").limit(rows).select("text", "__y").mapInArrow(_featured, "x array<int>, y int").toArrow()
+    texts = docs.select(col(id_col).alias("id"), col(text_col).cast("string").alias("text")).join(F.broadcast(few), "id").withColumn("h", F.xxhash64("id", "text"))
+    got = texts.orderBy("h", "y").limit(rows).select("text", "y").mapInArrow(_featured, "x array<int>, y int").toArrow()
     return fit([x.astype(np.int64) for x in got.column("x").to_numpy()], got.column("y").to_numpy())
 
 

@@ -202,10 +202,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, with one document of each group; of rows that repeat id and text one stays."""
     g = grouped(docs, id_col, text_col)
-    gone = g.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th")))).select(F.col("doc_id").alias("__gone_id"), F.col("th").alias("__gone_th"))
-    th, nth = free_name(docs, "__th"), free_name(docs, "__nth")
+    th, nth, gone_id, gone_th = (free_name(docs, n) for n in ("__th", "__nth", "__gone_id", "__gone_th"))
+    gone = g.filter(~(F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("th") == F.col("keep_th")))).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th))
     keyed = docs.withColumn(th, F.xxhash64(col(text_col)))
-    left = keyed.join(gone, col(id_col).eqNullSafe(F.col("__gone_id")) & (col(th) == F.col("__gone_th")), "left_anti")
+    left = keyed.join(gone, col(id_col).eqNullSafe(col(gone_id)) & (col(th) == col(gone_th)), "left_anti")
     order = Window.partitionBy(col(id_col), col(th)).orderBy(*[col(f.name) for f in docs.schema if f.name not in (id_col, text_col) and f.dataType.typeName() not in ("map", "variant")] or [col(th)])
     has_word = col(text_col).rlike(r"[0-9A-Za-z]|[^\x00-\x7F]")
     return left.withColumn(nth, F.row_number().over(order)).filter((col(nth) == 1) | ~F.coalesce(has_word, F.lit(False))).drop(th, nth)
