@@ -1,0 +1 @@
+"""Nothing here: the data model has no streams, and growing prefixes of trials are a batch join (operators.evidence)."""
