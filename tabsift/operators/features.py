@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsift.functions.stats import chi_square_median
+from tabsift.functions.storage import checkpointed
 
 
 def first_digit(x: Column) -> Column:
@@ -91,15 +92,16 @@ def flag_tree(features: DataFrame, label: str, inputs: list[str], depth: int = 4
     return model, model.transform(x)
 
 
-def elastic_net(features: DataFrame, label: str, inputs: list[str], folds: int = 5, seed: int = 1):
+def elastic_net(features: DataFrame, label: str, inputs: list[str], folds: int = 4, seed: int = 1):
     """Elastic net with mixing 0.95; of penalties whose error is within one standard error of the best the largest; then least squares on what it keeps: (kept inputs, coefficients, intervals)."""
     import numpy as np
     from pyspark.ml.evaluation import RegressionEvaluator
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import LinearRegression
 
-    x = VectorAssembler(inputCols=inputs, outputCol="x").transform(features.na.drop(subset=inputs + [label])).select("x", F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(F.lit(seed), *inputs), F.lit(folds)).alias("fold"))
-    rmse, lambdas = RegressionEvaluator(labelCol="y", metricName="mse"), np.geomspace(1.0, 0.001, 8)
+    features = checkpointed(features.na.drop(subset=inputs + [label]).select(label, *inputs))  # read once for each fit
+    x = VectorAssembler(inputCols=inputs, outputCol="x").transform(features).select("x", F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(F.lit(seed), *inputs), F.lit(folds)).alias("fold"))
+    rmse, lambdas = RegressionEvaluator(labelCol="y", metricName="mse"), np.geomspace(1.0, 0.01, 5)
     errors = np.array([[rmse.evaluate(LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=0.95, regParam=float(l)).fit(x.filter(F.col("fold") != k)).transform(x.filter(F.col("fold") == k))) for k in range(folds)] for l in lambdas])
     mean, se = errors.mean(1), errors.std(1, ddof=1) / np.sqrt(folds)
     chosen = float(lambdas[np.flatnonzero(mean <= mean.min() + se[mean.argmin()])[0]])
@@ -107,7 +109,7 @@ def elastic_net(features: DataFrame, label: str, inputs: list[str], folds: int =
     kept = [c for c, b in zip(inputs, fit.coefficients) if abs(b) > 1e-9]
     if not kept:
         return [], [], []
-    again = VectorAssembler(inputCols=kept, outputCol="z").transform(features.na.drop(subset=inputs + [label]))
+    again = VectorAssembler(inputCols=kept, outputCol="z").transform(features)
     ols = LinearRegression(featuresCol="z", labelCol=label, solver="normal").fit(again)
     sd = ols.summary.coefficientStandardErrors
     return kept, list(ols.coefficients), [(b - 1.959963984540054 * s, b + 1.959963984540054 * s) for b, s in zip(ols.coefficients, sd)]

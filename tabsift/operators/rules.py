@@ -174,7 +174,7 @@ def clean_sql(source: str, rules: list[Rule] = RULES, dropped: bool = False) ->
     last = f"s{len(rules)}"
     if dropped:
         return f"{sql} SELECT * FROM {last}"
-    cols = ", ".join("dense_rank() OVER (PARTITION BY pmcid ORDER BY \"column\") AS \"column\"" if c == "column" else f'"{c}"' for c in COLUMNS)
+    cols = ", ".join("CAST(dense_rank() OVER (PARTITION BY pmcid ORDER BY \"column\") AS INTEGER) AS \"column\"" if c == "column" else f'"{c}"' for c in COLUMNS)
     return f"{sql} SELECT {cols} FROM {last} WHERE dropped IS NULL"
 
 

@@ -59,7 +59,7 @@ def m1_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(comparisons.pairs(bridge.lineitem_table(spark, sf_dir)).select("pmcid", "row", F.col("a.column").alias("column_a"), F.col("b.column").alias("column_b")))
 
 
-@query(f"""SELECT pmcid, round("row", 6) AS "row", round(t, 6) AS t, dense_rank() OVER (ORDER BY pmcid) AS study FROM ({bridge.compare_sql(bridge.MIXED_SQL)})""")
+@query(f"""SELECT pmcid, round("row", 6) AS "row", round(t, 6) AS t, CAST(dense_rank() OVER (ORDER BY pmcid) AS INTEGER) AS study FROM ({bridge.compare_sql(bridge.MIXED_SQL)})""")
 def m4_study_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(comparisons.numbered(comparisons.compare(bridge.mixed_table(spark, sf_dir), p_values=False)).select("pmcid", "row", "t", "study"))
 
@@ -181,7 +181,7 @@ def m10_own_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT part, issue, n, round(100.0 * n / sum(n) OVER (PARTITION BY part), 6) AS percent FROM (SELECT length(pmcid) AS part,
+    f"""SELECT part, issue, n, round(100.0 * n / sum(n) OVER (PARTITION BY part), 6) AS percent FROM (SELECT CAST(length(pmcid) AS INTEGER) AS part,
     CASE WHEN p_flag < 0.5 THEN 'No issue' WHEN p_flag * slab_mean <= 0 THEN 'Over-dispersed' ELSE 'Under-dispersed' END AS issue, count(*) AS n FROM ({_POSTERIOR_SQL}) GROUP BY 1, 2)"""
 )
 def m16_issues(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -169,7 +169,7 @@ def j14_many_left(spark: SparkSession, d: str) -> DataFrame:
     return R.merge_all([nation, count("customer", "c_nationkey", "customers"), count("supplier", "s_nationkey", "suppliers")], ["key"]).drop("key")
 
 
-@query("SELECT event_type, count(*) AS n, sum(user_id) AS weighted FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, CAST(sum(user_id) AS BIGINT) AS weighted FROM events GROUP BY 1")
 def a1_a2_tally(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("user_id").alias("weighted"))
 
@@ -227,14 +227,14 @@ def a15_correlation(spark: SparkSession, d: str) -> DataFrame:
     return rounded(read(spark, d, "lineitem").agg(F.corr("l_quantity", "l_extendedprice").alias("r"), F.corr("l_tax", "l_discount").alias("s")))
 
 
-@query("SELECT reason, sum(n) AS n FROM (SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'click', count(*) FROM orders) GROUP BY 1")
+@query("SELECT reason, CAST(sum(n) AS BIGINT) AS n FROM (SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1 UNION ALL SELECT 'click', count(*) FROM orders) GROUP BY 1")
 def a20_recount(spark: SparkSession, d: str) -> DataFrame:
     a = read(spark, d, "events").groupBy(F.col("event_type").alias("reason")).agg(F.count(F.lit(1)).alias("n"))
     b = read(spark, d, "orders").agg(F.lit("click").alias("reason"), F.count(F.lit(1)).alias("n"))
     return a.unionByName(b).groupBy("reason").agg(F.sum("n").alias("n"))
 
 
-@query("SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS rank, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders")
+@query("SELECT o_orderkey, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before, CAST(dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority) AS INTEGER) AS rank, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INTEGER) AS nth FROM orders")
 def w1_w3_w4_windows(spark: SparkSession, d: str) -> DataFrame:
     w = Window.partitionBy("o_custkey")
     return read(spark, d, "orders").select("o_orderkey", F.lag("o_totalprice").over(w.orderBy("o_orderkey")).alias("before"), F.dense_rank().over(w.orderBy("o_orderpriority")).alias("rank"), F.row_number().over(w.orderBy("o_orderkey")).alias("nth"))
@@ -251,7 +251,7 @@ def w6_carry_forward(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "events").select("event_id", na.carry_forward(x, ["user_id"], ["event_id"]).alias("last_purchase"))
 
 
-@query("SELECT event_id, sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS segment FROM (SELECT event_id, user_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 100 THEN 1 ELSE 0 END AS j FROM events)")
+@query("SELECT event_id, CAST(sum(j) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS segment FROM (SELECT event_id, user_id, CASE WHEN event_id - lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) > 100 THEN 1 ELSE 0 END AS j FROM events)")
 def w7_segments(spark: SparkSession, d: str) -> DataFrame:
     return R.segments(read(spark, d, "events"), ["user_id"], "event_id", 100).select("event_id", "segment")
 
@@ -290,7 +290,7 @@ def r1_melt(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax").unpivot(["l_orderkey", "l_linenumber"], ["l_quantity", "l_tax"], "name", "value")
 
 
-@query("""SELECT o_custkey, sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS "F_n", sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS "O_n", max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS "F_hi", max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS "O_hi" FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 END) AS BIGINT) AS "F_n", CAST(sum(CASE WHEN o_orderstatus = 'O' THEN 1 END) AS BIGINT) AS "O_n", max(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END) AS "F_hi", max(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) AS "O_hi" FROM orders GROUP BY 1""")
 def r2_pivot_wider(spark: SparkSession, d: str) -> DataFrame:
     wide = read(spark, d, "orders").groupBy("o_custkey").pivot("o_orderstatus", ["F", "O"]).agg(F.count(F.lit(1)).alias("n"), F.max("o_totalprice").alias("hi"))
     return wide.select("o_custkey", *[F.nullif(F.coalesce(f"{s}_n", F.lit(0)), F.lit(0)).alias(f"{s}_n") for s in "FO"], "F_hi", "O_hi")
