@@ -46,12 +46,20 @@ def _words(t: Column) -> Column:
     return F.regexp_extract_all(t, F.lit(WORD), F.lit(0))
 
 
-def _stutter(t: Column) -> Column:
-    w = _words(t)
+def _let(value: Column, test) -> Column:
+    """test(value) with the value computed once, however often the test names it; branches of a CASE share nothing by themselves."""
+    return F.element_at(F.transform(F.array(value), test), 1)
+
+
+def _stutter(w: Column) -> Column:
     same = F.zip_with(w, F.slice(w, 2, F.greatest(F.size(w), F.lit(0))), lambda a, b: a == b)
     return (F.size(w) >= 20) & (F.size(F.filter(same, lambda x: x)) * 5 > F.size(w))
 
 
+def _repeated(x: Column) -> Column:
+    return (F.size(x) >= 5) & (F.size(F.array_distinct(x)) * 10 < F.size(x) * 3)
+
+
 def _n(pattern: str) -> str:
     return f"len(regexp_extract_all({{t}}, '{pattern}'))"
 
@@ -60,11 +68,11 @@ _W, _L = f"regexp_extract_all({{t}}, '{WORD}')", "string_split({t}, chr(10))"
 RULES = [
     Rule("no_letters", lambda t: t.isNull() | ~t.rlike(r"\p{L}"), r"({t} IS NULL OR NOT regexp_matches({t}, '\p{{L}}'))".replace("{{", "{").replace("}}", "}")),
     Rule("symbols", lambda t: _count(t, SYMBOL) * 10 > _count(t, WORD) * 3, f"{_n(SYMBOL)} * 10 > {_n(WORD)} * 3"),
-    Rule("capitals", lambda t: (_count(t, "[A-Za-z]") >= 20) & (_count(t, "[A-Z]") * 2 > _count(t, "[A-Za-z]")), f"({_n('[A-Za-z]')} >= 20 AND {_n('[A-Z]')} * 2 > {_n('[A-Za-z]')})"),
-    Rule("few_distinct_words", lambda t: (F.size(_words(t)) >= 20) & (F.size(F.array_distinct(_words(t))) * 5 < F.size(_words(t))), f"(len({_W}) >= 20 AND len(list_distinct({_W})) * 5 < len({_W}))"),
-    Rule("stutter", _stutter, f"(len({_W}) >= 20 AND len(list_filter(list_zip({_W}[:-2], {_W}[2:]), lambda p: p[1] = p[2])) * 5 > len({_W}))"),
-    Rule("repeated_lines", lambda t: (F.size(F.split(t, "\n")) >= 5) & (F.size(F.array_distinct(F.split(t, "\n"))) * 10 < F.size(F.split(t, "\n")) * 3), f"(len({_L}) >= 5 AND len(list_distinct({_L})) * 10 < len({_L}) * 3)"),
-    Rule("word_length", lambda t: (_count(t, WORD) >= 5) & ((F.length(t) < _count(t, WORD) * 2) | (F.length(t) > _count(t, WORD) * 25)), f"({_n(WORD)} >= 5 AND (length({{t}}) < {_n(WORD)} * 2 OR length({{t}}) > {_n(WORD)} * 25))"),
+    Rule("capitals", lambda t: _let(F.length(F.regexp_replace(t, "[^A-Za-z]+", "")), lambda n: (n >= 20) & (_count(t, "[A-Z]") * 2 > n)), f"({_n('[A-Za-z]')} >= 20 AND {_n('[A-Z]')} * 2 > {_n('[A-Za-z]')})"),
+    Rule("few_distinct_words", lambda t: _let(_words(t), lambda w: (F.size(w) >= 20) & (F.size(F.array_distinct(w)) * 5 < F.size(w))), f"(len({_W}) >= 20 AND len(list_distinct({_W})) * 5 < len({_W}))"),
+    Rule("stutter", lambda t: _let(_words(t), _stutter), f"(len({_W}) >= 20 AND len(list_filter(list_zip({_W}[:-2], {_W}[2:]), lambda p: p[1] = p[2])) * 5 > len({_W}))"),
+    Rule("repeated_lines", lambda t: _let(F.split(t, "\n"), _repeated), f"(len({_L}) >= 5 AND len(list_distinct({_L})) * 10 < len({_L}) * 3)"),
+    Rule("word_length", lambda t: _let(_count(t, WORD), lambda n: (n >= 5) & ((F.length(t) < n * 2) | (F.length(t) > n * 25))), f"({_n(WORD)} >= 5 AND (length({{t}}) < {_n(WORD)} * 2 OR length({{t}}) > {_n(WORD)} * 25))"),
 ]
 #: At most so many rows are sampled to order the rules, of this share of the rows looked at.
 SAMPLE_ROWS, SAMPLE_SHARE, SEED = 1000, 0.05, 7
