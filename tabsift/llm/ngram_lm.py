@@ -338,7 +338,7 @@ def probabilities(model: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
     """p(w | v) of word hashes."""
     words, at = np.unique(np.concatenate((v, w)), return_inverse=True)
     val = _find(model, "w", "val", words, word_shard(words, model.shards))
-    p1 = (_less(val["cont"].astype(np.int64), model.d1) / model.pairs if model.pairs else 0.0) + model.unknown
+    p1 = _less(val["cont"].astype(np.int64), model.d1) / max(model.pairs, 1) + model.unknown
     total = val["total"].astype(float)
     d = model.d
     back = np.divide(d[0] * val["n1"] + d[1] * val["n2"] + d[2] * val["n3"], total, out=np.ones(len(words)), where=total > 0)
