@@ -25,7 +25,7 @@ def members(spark, p, words):
 def test_rates_meet_the_targets_and_match_numpy(spark):
     rng = np.random.default_rng(0)
     p, words = rng.dirichlet([4, 1, 1], 400), rng.integers(1, 500, 400)
-    mix = M.solve(members(spark, p, words).repartition(4))
+    mix = M.solve(members(spark, p, words).repartition(4), {"good": 0.75, "toxic": 0.1, "poor": 0.15})
     r = mix.rate(p)
     got = (p * (r * words)[:, None]).sum(0) / words.sum()
     assert (r >= 0).all() and np.abs(got - mix.targets).max() < 2 * M.TOLERANCE and got == pytest.approx(mix.totals, abs=1e-9)
