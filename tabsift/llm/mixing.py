@@ -45,7 +45,7 @@ from tabsift.llm.common import col, free_name, key_type, stash
 DOMAINS = ("good", "toxic", "poor")
 TARGETS = {"good": 0.90, "toxic": 0.02, "poor": 0.08}
 LABEL_ROWS, HASHED, LEAST_ROWS, SEED = 8000, 1 << 18, 5, 5
-STEPS, TOLERANCE, FIT_STEPS, RIDGE = 60, 5e-4, 150, 1e-4
+STEPS, TOLERANCE, FIT_STEPS, RIDGE = 60, 5e-4, 150, 1e-3
 _FORM = 6 * 16  # binned measures come after the hashed words
 _BYTE = np.arange(256)
 _SYMBOL = np.isin(_BYTE, [ord(c) for c in "#%&*$|!{}<>~^=_"]).astype(np.uint8)
