@@ -1,16 +1,20 @@
-"""SimHash near-duplicates with pigeonring filtering.
+"""SimHash near-duplicates with exact pigeonhole routing.
 
 A document's 128-bit code sums, over its distinct lower-cased words weighted by
 the square root of their count, one pseudo-random sign vector per word. Two
-documents are near duplicates when their codes differ in at most 15 bits.
-
-Search is exact. The code is a ring of 8 segments of 16 bits. If 8 segments
-differ in at most 15 bits in total, then some segment starts a chain of which
-every prefix of l segments differs in at most floor(15 * l / 8) bits: 1, 3, 5,
-7, ... The first segment's budget of 1 means that one of its two bytes agrees,
-so codes are routed by (segment, byte, value of the byte); in such a bucket the
-other byte is looked up in its 9 variants, the chain is followed over the next
-segments, and only what survives gets the full Hamming check.
+documents are near duplicates when their codes differ in at most 20 bits.
+
+Search is exact. Of the 16 bytes of two codes within 20 bits, call one that
+differs in both its halves of 4 bits broken; it takes 2 bits at least.
+* Two bytes or more agree: the pair meets in the bucket of the first of them,
+  (byte, value of the byte), at the value of the second.
+* One byte agrees: the other 15 differ, so 5 are broken at most. They break 5 of
+  the 7 pairs of bytes (segments) elsewhere, so of any 6 one is whole: it has an
+  equal half in both of its bytes, and these halves are looked up in the bucket.
+* None agrees: 4 bytes are broken at most, so of any 6 segments two are whole.
+  Codes are routed by the halves of the first 5 segments as well, and in such a
+  bucket the halves of a later one among the first 6 are looked up.
+Whatever meets so, about 0.011 of all pairs of codes, gets the full Hamming check.
 
 Groups are the connected components of the pairs. A bucket emits a spanning
 star per component, never its pairs, so that copies by the thousand stay linear
@@ -38,9 +42,12 @@ from pyspark.sql import functions as F
 from tabsift.llm import kernels as K
 from tabsift.llm.common import col, free_name, key_type, shared_dir, stash
 
-BITS, SEGMENTS, MAX_DISTANCE = 128, 8, 15
-#: What l segments of a chain may differ in, at most.
-BUDGET = [MAX_DISTANCE * l // SEGMENTS for l in range(1, SEGMENTS + 1)]
+#: The routing above holds for 20 bits or fewer.
+BITS, SEGMENTS, MAX_DISTANCE = 128, 8, 20
+#: Each choice of a half from both bytes of a segment; kinds of buckets are the bytes, then halves of the first 5 segments.
+_HALVES = [(0xF0, 0xF0), (0xF0, 0x0F), (0x0F, 0xF0), (0x0F, 0x0F)]
+_WHOLE = [(s, h) for s in range(5) for h in range(4)]
+_KINDS = 16 + len(_WHOLE)
 _ROWS, _PAIRS = 1 << 15, 1 << 20
 
 
@@ -93,49 +100,54 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return picked.mapInArrow(_coded, f"doc_id {key_type(picked, 'doc_id')}, th bigint, code binary")
 
 
+def _half(code: np.ndarray, segment: int, h: int) -> np.ndarray:
+    """One half of both bytes of a segment, as a byte."""
+    a, b = _HALVES[h]
+    x, y = code[:, 2 * segment] & np.uint8(a), code[:, 2 * segment + 1] & np.uint8(b)
+    return (x if a == 0xF0 else x << np.uint8(4)) | (y if b == 0x0F else y >> np.uint8(4))
+
+
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each code 16 times, under the bucket of each of its bytes."""
+    """Each code 36 times, under the bucket of each of its bytes and of the halves of its first segments."""
     for b in batches:
         code = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
         n = len(code)
-        bucket = (np.arange(16, dtype=np.int32)[None, :] * 256 + code).reshape(-1)
-        yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0).take(pa.array(np.repeat(np.arange(n), 16)))], ["bucket", "code"])
-
-
-_VARIANTS = np.array([0] + [1 << k for k in range(8)], np.uint8)
+        kinds = np.hstack([code, *(_half(code, s, h)[:, None] for s, h in _WHOLE)])
+        bucket = (np.arange(_KINDS, dtype=np.int32)[None, :] * 256 + kinds).reshape(-1)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket), b.column(0).take(pa.array(np.repeat(np.arange(n), _KINDS)))], ["bucket", "code"])
 
 
-def pairs_in_bucket(code: np.ndarray, byte: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs within MAX_DISTANCE whose chain starts at the segment of ``byte``, in bounded blocks."""
-    n, segment = len(code), byte // 2
-    other = code[:, byte ^ 1]
-    by = np.argsort(other, kind="stable")
-    begin = np.searchsorted(other[by], np.arange(257))
-    ring = np.roll(code, -2 * segment, axis=1).copy().view(">u8").astype(np.uint64)
-    hi, lo = np.ascontiguousarray(ring[:, 0]), np.ascontiguousarray(ring[:, 1])
-    wanted = other[:, None] ^ _VARIANTS[None, :]
-    a, size = begin[wanted].reshape(-1), (begin[wanted.astype(np.int64) + 1] - begin[wanted]).reshape(-1)
-    left = np.repeat(np.arange(n), len(_VARIANTS))
+def _equal(key: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of equal keys, each pair once, in bounded blocks."""
+    n = len(key)
+    by = np.argsort(key, kind="stable")
+    size = np.searchsorted(key[by], key[by], side="right") - np.arange(n) - 1  # later ones of the same key
     ends = np.cumsum(size)
     total = int(ends[-1]) if n else 0
     for start in range(0, total, _PAIRS):
         stop = min(start + _PAIRS, total)
         p, q = np.searchsorted(ends, [start, stop - 1], side="right")
         k = np.repeat(np.arange(p, q + 1), np.minimum(ends[p : q + 1], stop) - np.maximum(ends[p : q + 1] - size[p : q + 1], start))
-        i = left[k]
-        j = by[a[k] + np.arange(start, stop) - (ends[k] - size[k])]
-        ok = i < j
-        i, j = i[ok], j[ok]
-        x = hi[i] ^ hi[j]
-        for l in (2, 3, 4):
-            ok = np.bitwise_count(x >> np.uint64(64 - 16 * l)) <= BUDGET[l - 1]
-            i, j, x = i[ok], j[ok], x[ok]
-        y = lo[i] ^ lo[j]
-        spent = np.bitwise_count(x)
-        for l in (5, 6, 7, 8):
-            ok = spent + np.bitwise_count(y >> np.uint64(64 - 16 * (l - 4))) <= BUDGET[l - 1]
-            i, j, y, spent = i[ok], j[ok], y[ok], spent[ok]
-        yield i, j
+        yield by[k], by[k + 1 + np.arange(start, stop) - (ends[k] - size[k])]
+
+
+def pairs_in_bucket(code: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within MAX_DISTANCE that a bucket of this kind must find, in bounded blocks; some come more than once."""
+    if kind < 16:
+        elsewhere = [s for s in range(SEGMENTS) if s != kind // 2][:6]
+        keys = [code[:, c] for c in range(kind + 1, 16)] + [_half(code, s, h) for s in elsewhere for h in range(4)]
+    else:
+        keys = [_half(code, s, h) for s in range(_WHOLE[kind - 16][0] + 1, 6) for h in range(4)]
+    both = np.ascontiguousarray(code).view(np.uint64)
+    hi, lo = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+    for key in keys:
+        for i, j in _equal(key):
+            d = np.bitwise_count(hi[i] ^ hi[j])
+            ok = d <= MAX_DISTANCE
+            i, j, d = i[ok], j[ok], d[ok]
+            ok = d + np.bitwise_count(lo[i] ^ lo[j]) <= MAX_DISTANCE
+            i, j = i[ok], j[ok]
+            yield np.minimum(i, j), np.maximum(i, j)
 
 
 def _star(key: tuple, table: pa.Table) -> pa.Table:

@@ -40,6 +40,38 @@ def test_buckets_find_exactly_the_pairs_within_the_distance(seed):
     assert got == want and len(want) > 20
 
 
+def test_routes_find_pairs_without_an_equal_byte():
+    rng, out = np.random.default_rng(7), []
+    for k in range(60):  # pairs of exactly 20 bits, with one bit of each byte or of each but one
+        a, flip = rng.integers(0, 256, 16).astype(np.uint8), np.zeros((16, 8), np.uint8)
+        flip[np.arange(16), rng.integers(0, 8, 16)] = 1
+        flip[rng.integers(0, 16)] *= k % 2
+        free = np.flatnonzero((flip.sum(1) > 0).repeat(8) & (flip.reshape(-1) == 0))
+        flip.reshape(-1)[rng.choice(free, 20 - flip.sum(), replace=False)] = 1
+        out += [a, a ^ np.packbits(flip, axis=1)[:, 0]]
+    code = np.array(out)
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in code], pa.binary())], ["code"])
+    where = {}
+    for b in simhash._routes([batch]):
+        for bucket, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            where.setdefault(bucket, []).append(np.frombuffer(x, np.uint8))
+    got = {frozenset((c[x].tobytes(), c[y].tobytes())) for k, v in where.items() for c in [np.array(v)] for i, j in simhash.pairs_in_bucket(c, k // 256) for x, y in zip(i, j)}
+    d = distances(code)
+    assert got == {frozenset((code[i].tobytes(), code[j].tobytes())) for i, j in itertools.combinations(range(len(code)), 2) if d[i, j] <= 20} and len(got) >= 60
+
+
+def test_recall_of_edited_short_texts():
+    rng, pairs = random.Random(5), 300
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
+    texts = []
+    for _ in range(pairs):
+        w = [rng.choice(words) for _ in range(80)]
+        texts += [" ".join(w), " ".join(rng.choice(words) if k % 13 == 0 else x for k, x in enumerate(w))]
+    code, _ = simhash.codes(pa.array(texts))
+    near = (np.unpackbits(code[::2] ^ code[1::2], axis=1).sum(1) <= simhash.MAX_DISTANCE).mean()
+    assert near > 0.75  # 15 bits give less than 0.6
+
+
 def test_code_is_the_sign_of_weighted_sums():
     text = "The cat, the dog; the bird. Über naïve x1"
     words, _ = K.tokens(*K.buffers(K.lower(pa.array([text]))))
