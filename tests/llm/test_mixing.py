@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tabsift.llm import mixing as M
 
 
@@ -39,6 +40,24 @@ def test_rates_meet_the_targets_and_match_numpy(spark):
     assert x == pytest.approx(r)
 
 
+@pytest.mark.parametrize("targets", [M.TARGETS, corpus_pipeline.TARGETS])
+def test_production_targets_are_met(spark, targets):
+    rng = np.random.default_rng(1)
+    p, words = rng.dirichlet([4, 1, 1], 4000), rng.integers(1, 500, 4000)
+    mix = M.solve(members(spark, p, words).repartition(4), targets)
+    got = (p * (mix.rate(p) * words)[:, None]).sum(0) / words.sum()
+    assert (mix.rate(p) >= 0).all() and np.abs(got - mix.targets).max() <= M.TOLERANCE and got == pytest.approx(mix.totals, abs=1e-9)
+
+
+def test_a_miss_is_reported_and_is_the_least_squares_solution(spark):
+    p = np.array([[0.8, 0.1, 0.1], [0.5, 0.3, 0.2]])
+    with pytest.warns(RuntimeWarning, match="mixing reaches"):
+        mix = M.solve(members(spark, p, [10, 30]), {"good": 0.97, "toxic": 0.02, "poor": 0.01})
+    share = p * np.array([0.25, 0.75])[:, None]
+    best = min((np.square(np.array([a, b]) @ share - mix.targets).sum(), a, b) for a in np.linspace(0, 8, 801) for b in np.linspace(0, 2, 21))
+    assert np.square(mix.totals - mix.targets).sum() <= best[0] + 1e-5 and mix.miss > M.TOLERANCE
+
+
 def test_targets_out_of_reach(spark):
     mix = M.solve(members(spark, [[1, 0, 0], [0.5, 0.5, 0]], [10, 10]), {"poor": 1.0}, steps=40)
     assert (mix.rate(np.array([[1, 0, 0], [0.5, 0.5, 0]])) < 0.05).all()
