@@ -41,13 +41,13 @@ class Rule:
 
 
 RULES = [
-    Rule("assigned_secret", 1, "(?:" + "|".join(_any_case(w) for w in ("token", "secret", "passw", "api_key", "apikey")) + r")[A-Za-z_]{0,12}[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/-]{16,128}"),
+    Rule("assigned_secret", 3, "(?:" + "|".join(_any_case(w) for w in ("token", "secret", "passw", "api_key", "apikey")) + r")[A-Za-z_]{0,12}[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/-]{16,128}"),
     Rule("aws_access_key", 1, r"(?:AKIA|ASIA)[0-9A-Z]{16}", ("AKIA", "ASIA")),
     Rule("github_token", 1, r"gh[pousr]_[A-Za-z0-9]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("slack_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,64}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
     Rule("stripe_key", 1, r"[rs]k_live_[0-9A-Za-z]{24,99}", ("k_live_",)),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{10,999}\.[A-Za-z0-9_-]{10,999}", ("eyJ",)),
+    Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyJ",)),
     Rule("private_key", 1, r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
 ]
 LEDGER = "blob string, rule string, rule_version int"

@@ -1,3 +1,4 @@
+import hashlib
 import re
 
 from tabsift.llm import secretscan as S
@@ -27,6 +28,14 @@ def test_each_rule(spark):
     assert got == {(i, k) for i, k in enumerate(SAMPLES)}
 
 
+def test_long_tokens_and_quoted_names(spark):
+    part = lambda n: "Zx09_-" * (n // 6)
+    rows = [(1, "eyJ" + part(996) + "." + part(6000) + "." + part(1200), "s"), (2, '{"api_key": "0123456789abcdef0123", "n": 1}', "s"), (3, "'secret' = '0123456789abcdef0123'", "s")]
+    got = {(r.doc_id, r.rule, r.secret) for r in S.scan_documents(table(spark, rows))[0].collect()}
+    found = {1: rows[0][1], 2: 'api_key": "0123456789abcdef0123', 3: "secret' = '0123456789abcdef0123"}
+    assert got == {(k, "jwt" if k == 1 else "assigned_secret", hashlib.sha256(v.encode()).hexdigest()) for k, v in found.items()}
+
+
 def test_against_plain_search(spark, sf):
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet")
     want = {}
