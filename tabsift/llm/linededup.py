@@ -7,6 +7,7 @@ The fingerprint is joined together with a hash of the window, so that a line
 that stands in many contexts joins only those that share a whole window. Any run
 of lines that two places share, and that holds MIN_WORDS words, has a window of
 its own in both and is therefore found, one long line as well as many short ones.
+Passages that begin or end inside lines count by their whole lines alone.
 
 Positions with the same fingerprint and window are joined to the first of them
 in corpus order, never to one another, so a passage in thousands of documents
