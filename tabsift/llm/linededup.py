@@ -1,184 +1,281 @@
 """Line deduplication: winnowing over line hashes.
 
-A line's hash covers its words, whatever white space parts them. From each line
-on, a window is the shortest run of lines that holds MIN_WORDS words; its least
-line hash is the window's fingerprint, and the line that has it is its position.
-The fingerprint is joined together with a hash of the window, so that a line
-that stands in many contexts joins only those that share a whole window. Any run
-of lines that two places share, and that holds MIN_WORDS words, has a window of
-its own in both and is therefore found, one long line as well as many short ones.
-Passages that begin or end inside lines count by their whole lines alone.
-
-Positions with the same fingerprint and window are joined to the first of them
-in corpus order, never to one another, so a passage in thousands of documents
-costs as many rows. Each match is extended both ways while the lines agree; the
-later run goes, the first stays.
+A line here is a logical one: wherever line feeds stand, a line ends with a word
+that ends in a full stop, an exclamation or question mark, or whose hash is 0
+modulo MARK. A passage that was reflowed or set into running text so has the same
+lines as before. A line's hash covers the LEAD words from its start on.
+
+Winnowing slides a window of MIN_WORDS words over these hashes and selects the
+least of the lines that begin in it, after its first word and LEAD words or more
+before its end. A selected line is a fingerprint, emitted once with its position, whatever the
+number of windows that select it. Equal windows select equal fingerprints, so
+every repeated run of MIN_WORDS words is found: the positions that share a
+fingerprint are joined, and all others are done with. (Windows in which no line
+begins, in long lines of few distinct words, are fingerprints themselves.)
+
+A joined position is extended both ways: first over its neighbourhood, the run of
+all windows that select it. A neighbourhood equal to an earlier one goes as it is,
+so that a passage in thousands of documents costs one row in each of them. Among
+those that differ, which have the ends of a match or an edited word inside, each
+window is looked up by itself, which extends matches word by word. The first
+place in corpus order stays, all later ones go, against whichever earlier
+document they agree with: no partner is preferred and none is left out.
+
+So a word goes if, and only if, it lies in a run of MIN_WORDS words that stands
+at an earlier place as well (up to 64-bit hash collisions).
 
 Defined results:
 * corpus order is id (null first), then text hash, then position in the text;
-* within one text, a run and the earlier one that it repeats don't overlap;
-* null and empty texts have no run and stay as they are;
+* words are runs of other than ASCII white space, compared as they stand;
+* within one text, the earlier place must not overlap the later one; a text that
+  repeats one word or line keeps its first MIN_WORDS words;
+* null and empty texts, and those of fewer words, stay as they are;
 * rows that repeat both id and text are one document, changed alike;
-* a document that loses all its lines goes; n_chars, if there, follows the text;
-* white space decides nothing, but lines that stay keep theirs.
+* a document that loses all its words goes; n_chars, if there, follows the text;
+* white space after a word that goes goes with it; a line feed stays between the
+  rests of two lines; a text whose end goes loses the white space before it too.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabsift.llm import kernels as K
 from tabsift.llm.common import col, free_name, key_type, stash
 
-MIN_WORDS = 50
+MIN_WORDS, LEAD, MARK = 50, 12, 16
 _BASE = K.U64(0x9E3779B97F4A7C15)
 _INVERSE = K.U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-FEED = np.uint8(10)
-
-
-def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(offsets of lines by row, line hashes, words of each line)."""
-    data, offs = K.buffers(texts)
-    n = len(offs) - 1
-    feeds = np.concatenate([np.flatnonzero(data[a : a + (16 << 20)] == FEED) + a for a in range(0, len(data), 16 << 20)] or [np.zeros(0, np.int64)])
-    before = np.searchsorted(feeds, offs)
-    first = before[:-1] + np.arange(n)  # a row has one line more than it has line feeds
-    total = len(feeds) + n
-    h, row, place = K.tokens_at(data, offs, K.NOT_SPACE)
-    line = np.searchsorted(feeds, place) + row
-    words = np.bincount(line, minlength=total).astype(np.int32)
-    start = np.concatenate(([0], np.cumsum(words)))[:-1]
-    nth = np.arange(len(h)) - start[line]
-    out = np.zeros(total, K.U64)
-    has = words > 0
-    if len(h):
-        out[has] = K.mix(np.add.reduceat(h * (K.mix(nth.astype(K.U64), 41) | K.U64(1)), start[has]), 42)
-    return np.append(first, total), out, words
-
-
-def windows(lines: np.ndarray, words: np.ndarray, min_words: int = MIN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, start, lines, place of the fingerprint) of each window of one text."""
-    n = len(lines)
-    total = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
-    end = np.searchsorted(total, total[:-1] + min_words)  # first line beyond the window
-    start = np.flatnonzero((end <= n) & (words > 0))
-    end = end[start]
+_END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
+#: Bytes of text handled at a time, in whole rows; bounds the working memory, never the result.
+SLICE = 2 << 20
+
+
+@dataclass(frozen=True)
+class Words:
+    """The words of some texts, one after the other; offsets of texts are in words."""
+
+    offs: np.ndarray
+    row: np.ndarray
+    hash: np.ndarray
+    begins: np.ndarray  # whether the word before ends a line
+    feed: np.ndarray  # whether this is the first word after a line feed, or of a text
+    char: np.ndarray  # where a word begins in its text, in code points
+    chars: np.ndarray  # of each text
+    sums: np.ndarray
+    down: np.ndarray
+
+    def run(self, a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+        """Hash of the words from a to b, which doesn't depend on where they stand."""
+        return K.mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(K.U64), seed)
+
+    def next_char(self, b: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Where the word after the last one before b begins, or the text's length."""
+        return np.where(b < self.offs[row + 1], np.append(self.char, 0)[b], self.chars[row])
+
+
+def words_of(texts: pa.Array) -> Words:
+    data, at = K.buffers(texts)
+    h, row, place = K.tokens_at(data, at, K.NOT_SPACE)
+    n = len(at) - 1
+    offs = np.searchsorted(row, np.arange(n + 1))
+    on = K.NOT_SPACE[data]
+    last = on.copy()
+    last[:-1] &= ~on[1:]
+    edge = at[1:][at[1:] > at[:-1]] - 1
+    last[edge] = on[edge]
+    end = np.flatnonzero(last)
+    new = np.ones(len(h), bool)
+    new[1:] = row[1:] != row[:-1]
+    feeds = np.cumsum(data == 10)
+    feed = new.copy()
+    feed[1:] |= feeds[place[1:]] > feeds[end[:-1]]
+    begins = ~new
+    begins[1:] &= _END[data[end[:-1]]] | (K.mix(h[:-1], 43) % K.U64(MARK) == 0)
+    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    power = np.cumprod(np.concatenate(([K.U64(1)], np.full(len(h), _BASE))))
+    down = np.cumprod(np.concatenate(([K.U64(1)], np.full(len(h), _INVERSE))))
+    sums = np.concatenate(([K.U64(0)], np.cumsum(K.mix(h, 44) * power[:-1])))
+    return Words(offs, row, h, begins, feed, points[place] - points[at[row]], points[at[1:]] - points[at[:-1]], sums, down)
+
+
+def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first place of the least value in each half-open range, none empty, by a sparse table."""
     if not len(start):
-        e = np.zeros(0, np.int64)
-        return np.zeros(0, K.U64), e, e, e
-    power = np.cumprod(np.concatenate(([K.U64(1)], np.full(n, _BASE))))
-    down = np.cumprod(np.concatenate(([K.U64(1)], np.full(n, _INVERSE))))
-    mixed = K.mix(lines, 43)
-    sums = np.concatenate(([K.U64(0)], np.cumsum(mixed * power[:-1])))
-    content = K.mix((sums[end] - sums[start]) * down[start] + (end - start).astype(K.U64), 44)
-    least, at = _least(lines, start, end)
-    return K.mix(content ^ K.mix(least, 45), 46), start, end - start, at
-
-
-def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(least value, its first place) in each half-open range, by a sparse table."""
-    order = np.argsort(np.argsort(x, kind="stable"), kind="stable")  # ranks, so that a tie has one place
-    table = [order]
+        return np.zeros(0, np.int64)
+    order = np.argsort(x, kind="stable")
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x))
+    table = [rank]
     while (1 << len(table)) <= int((end - start).max()):
         half, prev = 1 << (len(table) - 1), table[-1]
         table.append(np.minimum(prev[:-half], prev[half:]))
     level = np.frexp((end - start).astype(float))[1] - 1
-    rank = np.empty(len(start), np.int64)
+    out = np.empty(len(start), np.int64)
     for l in np.unique(level):
         m = level == l
-        rank[m] = np.minimum(table[l][start[m]], table[l][end[m] - (1 << l)])
-    place = np.empty(len(x), np.int64)
-    place[order] = np.arange(len(x))
-    return x[place[rank]], place[rank]
+        out[m] = np.minimum(table[l][start[m]], table[l][end[m] - (1 << l)])
+    return order[out]
 
 
-def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        offs, h, words = line_hashes(b.column(2))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), K.list_array(K.as_long(h), offs), K.list_array(words, offs)], ["doc_id", "th", "lines", "words"])
+def fingerprints(w: Words, min_words: int = MIN_WORDS, lead: int = LEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(fingerprint, hash of its neighbourhood, first, last window that selects it) of each selected position."""
+    n = len(w.hash)
+    place = np.arange(n)
+    start = place[place + min_words <= w.offs[w.row + 1]]
+    line = place[w.begins & (place + lead <= w.offs[w.row + 1])]
+    value = w.run(line, line + lead, 45)
+    before = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=n))))
+    a, b = before[start + 1], before[start + min_words - lead + 1]  # not its first word: what is before that isn't in the window
+    some = b > a
+    rest, start, at = start[~some], start[some], _least(value, a[some], b[some])
+    new = np.ones(len(start), bool)
+    new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
+    lo, hi, at = start[new], start[np.append(new[1:], True)] if len(start) else start, at[new]
+    own = w.run(rest, rest + min_words, 46)
+    return (
+        np.concatenate((value[at], own)),
+        np.concatenate((w.run(lo, hi + min_words, 46), own)),
+        np.concatenate((lo, rest)),
+        np.concatenate((hi, rest)),
+    )
+
+
+def _slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    size = np.concatenate(([0], np.cumsum(np.diff(K.buffers(b.column(text))[1]))))
+    first = 0
+    while first < b.num_rows:
+        last = max(first + 1, int(np.searchsorted(size, size[first] + SLICE, side="right")) - 1)
+        yield b.slice(first, last - first)
+        first = last
+
+
+def _emit(b: pa.RecordBatch, w: Words, keys: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, min_words: int) -> pa.RecordBatch:
+    """Rows of windows from lo to hi, with their place in the text."""
+    row = w.row[lo]
+    pick, first = pa.array(row), w.offs[row]
+    out = {"doc_id": b.column(0).take(pick), "th": b.column(1).take(pick)} | {k: pa.array(K.as_long(x)) for k, x in keys.items()}
+    for name, x in (("lo", lo - first), ("hi", hi - first), ("c0", w.char[lo]), ("c1", w.next_char(hi + min_words, row))):
+        out[name] = pa.array(x.astype(np.int32))
+    out["feed"] = pa.array(w.feed[lo])
+    return pa.RecordBatch.from_pydict(out)
+
+
+_PLACE = "lo int, hi int, c0 int, c1 int, feed boolean"
+
+
+def _fingerprinted(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in _slices(whole, 2):
+                w = words_of(b.column(2))
+                h, nk, lo, hi = fingerprints(w, min_words, min(LEAD, min_words))
+                if len(h):
+                    yield _emit(b, w, {"h": h, "nk": nk}, lo, hi, min_words)
+
+    return run
 
 
 def _windows(min_words: int):
+    """Every window of the given neighbourhoods."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lines, words = b.column(2), b.column(3)
-            offs = lines.offsets.to_numpy()
-            h, w = lines.values.to_numpy().view(K.U64), words.values.to_numpy()
-            keys, rows, starts, sizes, places = [], [], [], [], []
-            for i in range(b.num_rows):
-                key, start, size, at = windows(h[offs[i] : offs[i + 1]], w[offs[i] : offs[i + 1]], min_words)
-                if len(key):
-                    keys.append(key), starts.append(start), sizes.append(size), places.append(at)
-                    rows.append(np.full(len(key), i))
-            if keys:
-                pick = pa.array(np.concatenate(rows))
-                cat = lambda x: pa.array(np.concatenate(x).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(K.as_long(np.concatenate(keys))), b.column(0).take(pick), b.column(1).take(pick), cat(starts), cat(sizes), cat(places)], ["key", "doc_id", "th", "start", "size", "at"])
+        for whole in batches:
+            for b in _slices(whole, 2):
+                w = words_of(b.column(2))
+                at = b.column(3)
+                row = np.repeat(np.arange(b.num_rows), np.diff(at.offsets.to_numpy()))
+                pairs = at.flatten()
+                lo, hi = (pairs.field(k).to_numpy() + w.offs[row] for k in (0, 1))
+                mark = np.zeros(len(w.hash) + 1, np.int64)
+                np.add.at(mark, lo, 1)
+                np.add.at(mark, hi + 1, -1)
+                start = np.flatnonzero(np.cumsum(mark)[:-1])
+                if len(start):
+                    yield _emit(b, w, {"key": w.run(start, start + min_words, 46)}, start, start, min_words)
 
     return run
 
 
-def extend(mine: list[int], theirs: list[int], hits: list[tuple[int, int, int]], same: bool) -> set[int]:
-    """Lines of ``mine`` in runs grown from hits (my start, their start, lines); ``same``: both are one text."""
-    gone: set[int] = set()
-    done: set[tuple[int, int]] = set()
-    for x, a, size in sorted(hits):
-        if (x, x - a) in done:
-            continue
-        xs, xe, s, e = x, x + size - 1, a, a + size - 1
-        while xs > 0 and s > 0 and mine[xs - 1] == theirs[s - 1] and not (same and xs - 1 <= e):
-            xs, s = xs - 1, s - 1
-        while xe + 1 < len(mine) and e + 1 < len(theirs) and mine[xe + 1] == theirs[e + 1] and not (same and e + 1 >= xs):
-            xe, e = xe + 1, e + 1
-        run = range(xs, xe + 1)
-        gone.update(run)
-        if not same:
-            done.update((y, x - a) for y in run)
-    return gone
-
-
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Overlapping and touching runs as one."""
     for b in batches:
-        out = []
-        for mine, theirs, hits, same in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-            out.append(sorted(extend(mine, theirs, [(h["x"], h["a"], h["size"]) for h in hits], same)))
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["doc_id", "th", "gone"])
+        runs = b.column(2)
+        row = np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
+        flat = runs.flatten()
+        lo, stop, c0, c1, feed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        order = np.lexsort((lo, row))
+        row, lo, stop, c0, c1, feed = (x[order] for x in (row, lo, stop, c0, c1, feed))
+        reach = np.maximum.accumulate(stop + (row << 32))  # a later row is always beyond
+        new = np.ones(len(row), bool)
+        new[1:] = lo[1:] + (row[1:] << 32) > reach[:-1]
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(row)) - 1
+        end = np.maximum.reduceat(c1, head) if len(head) else c1
+        fields = [lo[head], (reach[tail] - (row[tail] << 32)).astype(np.int32), c0[head], end, feed[head]]
+        out = pa.StructArray.from_arrays([pa.array(x) for x in fields], ["lo", "stop", "c0", "c1", "feed"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), K.list_array(out, np.searchsorted(row[head], np.arange(b.num_rows + 1)))], ["doc_id", "th", "runs"])
+
+
+def _same() -> Column:
+    return F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
+
 
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, th, runs): what goes, for documents that lose any word; th is the text's hash.
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, gone, n_lines): which lines, counted from 0, go; for documents that lose any. th is the text's hash."""
+    A run is (lo, stop) in words, counted from 0, and (c0, c1) in characters: from
+    its first word to the word after it, or to the text's end. ``feed``: it begins a line.
+    """
     t = col(text_col).cast("string")
     picked = docs.filter(t.isNotNull()).select(col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
     id_type = key_type(picked, "doc_id")
-    lines = stash(picked.mapInArrow(_lines, f"doc_id {id_type}, th bigint, lines array<bigint>, words array<int>").dropDuplicates(["doc_id", "th"]))
-    found = lines.mapInArrow(_windows(min_words), f"key bigint, doc_id {id_type}, th bigint, start int, size int, at int")
-    first = found.groupBy("key").agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
-    same = F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
-    later = found.join(first, "key").withColumn("same", same).filter(~F.col("same") | (F.col("start") >= F.col("f.start") + F.col("size")))
-    hit = F.struct(F.col("start").alias("x"), F.col("f.start").alias("a"), "size")
-    pairs = later.groupBy("doc_id", "th", F.col("f.doc_id").alias("a_id"), F.col("f.th").alias("a_th"), "same").agg(F.collect_list(hit).alias("hits"))
-    mine = lines.select(F.col("doc_id").alias("m_id"), F.col("th").alias("m_th"), F.col("lines").alias("mine"))
-    theirs = lines.select(F.col("doc_id").alias("t_id"), F.col("th").alias("t_th"), F.col("lines").alias("theirs"))
-    both = pairs.join(mine, F.col("doc_id").eqNullSafe(F.col("m_id")) & (F.col("th") == F.col("m_th"))).join(theirs, F.col("a_id").eqNullSafe(F.col("t_id")) & (F.col("a_th") == F.col("t_th")))
-    gone = both.select("doc_id", "th", "mine", "theirs", "hits", "same").mapInArrow(_removed, f"doc_id {id_type}, th bigint, gone array<int>")
-    return gone.groupBy("doc_id", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    found = stash(picked.mapInArrow(_fingerprinted(min_words), f"doc_id {id_type}, th bigint, h bigint, nk bigint, {_PLACE}"))
+    joined = found.join(found.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
+    kinds = joined.groupBy("h", "nk").agg(F.min(F.struct("doc_id", "th", "lo")).alias("f"))
+    mixed = kinds.groupBy("h").count().filter("count > 1").select("h")
+    held = stash(joined.join(kinds, ["h", "nk"]).withColumn("later", ~_same() | (F.col("lo") >= F.col("f.lo") + min_words)).select("doc_id", "th", "h", "lo", "hi", "c0", "c1", "feed", "later"))
+    place = F.struct("lo", (F.col("hi") + min_words).alias("stop"), "c0", "c1", "feed").alias("run")
+    gone = held.filter("later").select("doc_id", "th", place)
+    apart = held.filter("NOT later").join(mixed, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
+    apart = apart.withColumnsRenamed({"doc_id": "a_id", "th": "a_th"})
+    opened = picked.join(apart, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))).select("doc_id", "th", "text", "at")
+    windows = stash(opened.mapInArrow(_windows(min_words), f"doc_id {id_type}, th bigint, key bigint, {_PLACE}"))
+    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "th", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
+    parts = windows.join(first, "key").filter(~_same() | (F.col("lo") >= F.col("f.lo") + min_words)).select("doc_id", "th", place)
+    runs = gone.unionAll(parts).groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
+    return runs.mapInArrow(_merged, f"doc_id {id_type}, th bigint, runs array<struct<lo:int,stop:int,c0:int,c1:int,feed:boolean>>")
+
+
+def _without(t: Column, runs: Column) -> Column:
+    """A text without its runs."""
+
+    def part(r: Column, i: Column) -> Column:
+        begin = F.when(i > 0, F.get(runs, i - 1)["c1"]).otherwise(F.lit(0))
+        inside = F.substring(t, r["c0"] + 1, r["c1"] - r["c0"])
+        feed = F.when(~r["feed"] & F.contains(inside, F.lit("\n")) & (r["c1"] < F.length(t)), F.lit("\n")).otherwise(F.lit(""))
+        return F.concat(F.substring(t, begin + 1, r["c0"] - begin), feed)
+
+    end = F.element_at(runs, -1)["c1"]
+    left = F.concat(F.array_join(F.transform(runs, part), ""), F.substring(t, end + 1, F.length(t)))
+    return F.when(end < F.length(t), left).otherwise(F.regexp_replace(left, r"[ \t\n\x0B\f\r]+$", ""))
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
-    """The rows of docs, all columns, without later repeated runs; ``removed`` names a column for the lines that went."""
+    """The rows of docs, all columns, without later repeated runs; ``removed`` names a column for the runs that went, as (lo, stop) in words."""
     th, left, gone_id, gone_th, lost = (free_name(docs, n) for n in ("__th", "__left", "__gone_id", "__gone_th", "__gone"))
-    gone = repeated_lines(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), F.col("gone").alias(lost))
+    gone = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), F.col("runs").alias(lost))
     t = col(text_col).cast("string")
     joined = docs.withColumn(th, F.xxhash64(t)).join(gone, col(id_col).eqNullSafe(col(gone_id)) & (col(th) == col(gone_th)), "left")
-    kept = F.filter(F.split(t, "\n"), lambda x, i: ~F.array_contains(col(lost), i))
     changed = col(lost).isNotNull()
-    joined = joined.withColumn(left, F.when(changed, kept)).filter(~changed | (F.size(left) > 0))
-    text = F.when(changed, F.array_join(col(left), "\n")).otherwise(t)
+    joined = joined.withColumn(left, F.when(changed, _without(t, col(lost)))).filter(~changed | col(left).rlike(r"[^ \t\n\x0B\f\r]"))
+    text = F.when(changed, col(left)).otherwise(t)
     out = []
     for c in docs.columns:
         if c == text_col:
@@ -188,5 +285,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             out.append(col(c))
     if removed:
-        out.append(F.coalesce(col(lost), F.array().cast("array<int>")).alias(removed))
+        pairs = F.transform(col(lost), lambda r: F.struct(r["lo"].alias("lo"), r["stop"].alias("stop")))
+        out.append(F.coalesce(pairs, F.array().cast("array<struct<lo:int,stop:int>>")).alias(removed))
     return joined.select(*out)

@@ -55,8 +55,8 @@ ORACLE["op8_secrets"] = secretscan.report_sql()
 
 
 def op3_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(doc_id, text, removed_lines) of the documents that keep a line."""
-    return linededup.drop_repeated_lines(_documents(spark, sf_dir), removed="removed_lines").select("doc_id", "text", "removed_lines")
+    """(doc_id, text, removed) of the documents that keep a word; removed has runs of words, (lo, stop)."""
+    return linededup.drop_repeated_lines(_documents(spark, sf_dir), removed="removed").select("doc_id", "text", "removed")
 
 
 def op5_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
