@@ -2,14 +2,16 @@
 
 Documents are dealt to blocks of about BLOCK items by hash, so that the number
 of blocks grows with the input and the work of one doesn't. A block is evolved on
-ISLANDS islands at once, each a task of its own. An individual is a packing of
-the block's items into bins. Crossover injects a run of the other parent's best
-filled bins, removes the bins that hold any of their items, and puts what that
-displaces into the remaining bins by best fit, largest first; mutation dissolves
-the worst filled bins in the same way. The first individual is best-fit
-decreasing, so the result is never worse. Fitness is the mean squared fill. After
-every epoch the elite of each island moves on to the next one in the ring, which
-is the only shuffle: a population is a few kilobytes.
+ISLANDS islands at once. An individual is a packing of the block's items into
+bins. Crossover injects a run of the other parent's best filled bins, removes the
+bins that hold any of their items, and puts what that displaces into the remaining
+bins; mutation dissolves the worst filled bins in the same way. A displaced item
+first takes the place of one or two smaller ones wherever that fills a bin further,
+largest first; what is left over then is best-fitted. The first individual is
+best-fit decreasing, so the result is never worse. Fitness is the mean squared
+fill. After every epoch the elite of each island moves on to the next one in the
+ring, which is the only shuffle: a population is a few kilobytes. An island stops
+once its best individual has as few bins as the sizes allow (least_bins).
 
 Sizes are counts of words. A document of more than the capacity is cut: its full
 pieces fill bins of their own, and the rest is packed.
@@ -27,7 +29,7 @@ Defined results:
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,9 @@ from pyspark.sql import functions as F
 from tabsift.llm.common import col, key_type, stash
 
 CAPACITY, BLOCK, ISLANDS, POPULATION, ELITE = 2048, 2048, 3, 6, 2
-EPOCHS, GENERATIONS, OFFSPRING, SEED = 3, 4, 4, 11
+EPOCHS, GENERATIONS, OFFSPRING, SEED = 3, 12, 4, 11
+#: Rows that one task evolves at most, as long as there are more rows than tasks at once.
+ROWS_PER_TASK = 8
 
 Bins = list[list[int]]
 
@@ -68,6 +72,56 @@ def fitness(bins: Bins, size: list[int], capacity: int) -> float:
     return sum(((capacity - f) / capacity) ** 2 for f in _free(bins, size, capacity)) / len(bins)
 
 
+def replace(bins: Bins, free: list[int], items: list[int], size: list[int]) -> list[int]:
+    """Swap items for one or two smaller ones of a bin that this fills further; returns what is left over, largest first.
+
+    Every swap makes the items outside smaller, so it ends.
+    """
+    if not bins:
+        return items
+    one = np.array([i for b in bins for i in b])
+    owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+    pairs = [(i, j, k) for k, b in enumerate(bins) if free[k] and 1 < len(b) < 7 for n, i in enumerate(b) for j in b[n + 1 :]]
+    two, with_, pair_owner = np.array(pairs, np.int64).reshape(-1, 3).T
+    weight, slack = np.array(size), np.array(free)
+    s1, s2 = weight[one], weight[two] + weight[with_]
+    c1, c2 = s1 + slack[owner], s2 + slack[pair_owner]
+    alive1, alive2 = slack[owner] > 0, np.ones(len(two), bool)
+    heap = [(-size[i], i) for i in items]
+    heapify(heap)
+    out: list[int] = []
+    while heap:
+        i = heappop(heap)[1]
+        s = size[i]
+        # the swap that leaves the least room; of equals, the one that puts out least
+        best, found = (1 << 40, 0), None
+        for kind, (have, cap, ok) in enumerate(((s1, c1, alive1), (s2, c2, alive2))):
+            good = np.flatnonzero((have < s) & (cap >= s) & ok)
+            if len(good):
+                k = good[np.lexsort((have[good], cap[good]))[0]]
+                if (cap[k] - s, have[k]) < best:
+                    best, found = (cap[k] - s, have[k]), (kind, int(k))
+        if found is None:
+            out.append(i)
+            continue
+        kind, k = found
+        b = int(owner[k] if kind == 0 else pair_owner[k])
+        gone = [int(one[k])] if kind == 0 else [int(two[k]), int(with_[k])]
+        bins[b] = [x for x in bins[b] if x not in gone] + [i]
+        free[b] -= s - sum(size[x] for x in gone)
+        alive1[owner == b], alive2[pair_owner == b] = False, False  # a bin is changed once at most
+        for x in gone:
+            heappush(heap, (-size[x], x))
+    return out
+
+
+def settle(bins: Bins, items: list[int], size: list[int], capacity: int) -> Bins:
+    """Put displaced items, in the given order, into some bins and new ones."""
+    free = _free(bins, size, capacity)
+    best_fit(bins, free, replace(bins, free, items, size), size, capacity)
+    return bins
+
+
 def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: np.random.Generator) -> Bins:
     """A child of a, with a run of b's best filled bins."""
     ranked = sorted(range(len(b)), key=lambda k: (sum(size[i] for i in b[k]), -k), reverse=True)
@@ -83,8 +137,7 @@ def crossover(a: Bins, b: Bins, size: list[int], capacity: int, rng: np.random.G
         else:
             displaced += [i for i in x if i not in have]
     displaced.sort(key=lambda i: (-size[i], i))
-    best_fit(new, _free(new, size, capacity), displaced, size, capacity)
-    return new
+    return settle(new, displaced, size, capacity)
 
 
 def mutate(a: Bins, size: list[int], capacity: int, rng: np.random.Generator) -> Bins:
@@ -96,8 +149,7 @@ def mutate(a: Bins, size: list[int], capacity: int, rng: np.random.Generator) ->
     kept = [list(x) for k, x in enumerate(a) if k not in drop]
     items = [i for k in sorted(drop) for i in a[k]]
     items.sort(key=lambda i: (-size[i] + int(rng.integers(0, 1 + size[i] // 4)), i))
-    best_fit(kept, _free(kept, size, capacity), items, size, capacity)
-    return kept
+    return settle(kept, items, size, capacity)
 
 
 def _encode(bins: Bins, n: int) -> np.ndarray:
@@ -125,12 +177,25 @@ def seeds(size: list[int], capacity: int, rng: np.random.Generator) -> list[Bins
     return out
 
 
+def least_bins(size: list[int], capacity: int) -> int:
+    """A bound that no packing goes under: over all a up to half the capacity, bins for items too large to share one, and for what of the items from a on has no room beside them."""
+    x = np.sort(np.array(size, np.int64))
+    sums = np.concatenate(([0], np.cumsum(x)))
+    half = np.searchsorted(x, capacity // 2, side="right")
+    a = np.concatenate(([0], np.unique(x[:half])))
+    first, fits = np.searchsorted(x, a), np.searchsorted(x, capacity - a, side="right")
+    fits = np.maximum(fits, half)
+    room = (fits - half) * capacity - (sums[fits] - sums[half])
+    beyond = np.maximum(sums[half] - sums[np.minimum(first, half)] - room, 0)
+    return int((len(x) - half + -(-beyond // capacity)).max())
+
+
 def evolve(population: list[Bins], size: list[int], capacity: int, rng: np.random.Generator, generations: int = GENERATIONS) -> list[Bins]:
     """The best POPULATION individuals after some generations, best first; the best never gets lost."""
     scored = sorted(((fitness(p, size, capacity), k, p) for k, p in enumerate(population)), key=lambda x: (-x[0], x[1]))[:POPULATION]
-    least = -(-sum(size) // capacity)
+    least = least_bins(size, capacity)
     for _ in range(generations):
-        if len(scored[0][2]) == least and len(scored[0][2]) == 1:
+        if len(scored[0][2]) == least:
             break
         for _ in range(OFFSPRING):
             # of two drawn at random the better one, twice
@@ -220,7 +285,10 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     blocks = max(1, -(-sized.count() // BLOCK))
     items = sized.withColumn("block", F.pmod(F.xxhash64("doc_id", "th", "n"), F.lit(blocks)))
     state = items.groupBy("block").applyInArrow(_settle(capacity), _STATE)
+    # the rows are few and small but take long, so their partitions are stated and not left to their bytes
+    at_once = docs.sparkSession.sparkContext.defaultParallelism
+    tasks = max(min(blocks * ISLANDS, 4 * at_once), -(-blocks * ISLANDS // ROWS_PER_TASK))
     for epoch in range(EPOCHS):
-        state = state.groupBy("block", "island").applyInArrow(_epoch(capacity, epoch), _STATE)
+        state = state.repartition(tasks, "block", "island").groupBy("block", "island").applyInArrow(_epoch(capacity, epoch), _STATE)
     out = f"bin_id bigint, doc_id {key_type(sized, 'doc_id')}, piece int, start_word bigint, n_words int"
     return items.groupBy("block").cogroup(state.groupBy("block")).applyInArrow(_best(capacity), out)

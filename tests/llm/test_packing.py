@@ -31,7 +31,7 @@ def fewest_bins(size, capacity):
 
 def evolve(size, capacity, seed=0):
     rng = np.random.default_rng(seed)
-    return P.evolve(P.seeds(size, capacity, rng), size, capacity, rng, generations=20)
+    return P.evolve(P.seeds(size, capacity, rng), size, capacity, rng)
 
 
 def valid(bins, size, capacity):
@@ -48,6 +48,44 @@ def test_as_few_bins_as_possible(seed):
     assert len(best) == fewest_bins(size, 12)
 
 
+def shipped(size, capacity):
+    """(bins of best-fit decreasing, bins of all islands and epochs as they are shipped)."""
+    decreasing, islands = [], None
+    P.best_fit(decreasing, [], list(range(len(size))), size, capacity)
+    for epoch in range(P.EPOCHS):
+        rngs = [np.random.default_rng([P.SEED, 0, k, epoch]) for k in range(P.ISLANDS)]
+        islands = [P.evolve(islands[k] + islands[k - 1][: P.ELITE] if islands else P.seeds(size, capacity, rng), size, capacity, rng) for k, rng in enumerate(rngs)]
+    best = max((x[0] for x in islands), key=lambda x: P.fitness(x, size, capacity))
+    valid(best, size, capacity)
+    return len(decreasing), len(best)
+
+
+def triplets(rng, n):
+    out = []
+    for _ in range(n):
+        a = int(rng.integers(380, 490))
+        b = int(rng.integers(250, (1000 - a) // 2 + 1))
+        out += [a, b, 1000 - a - b]
+    return out
+
+
+@pytest.mark.parametrize("kind, gain", [("triplets", 6), ("quarters", 6), ("uniform", 1)])
+def test_the_search_needs_fewer_bins_than_best_fit_decreasing(kind, gain):
+    rng = np.random.default_rng(0)
+    size, capacity = {"triplets": (triplets(rng, 60), 1000), "quarters": (rng.integers(400, 900, 500), 2048), "uniform": (rng.integers(20, 101, 500), 150)}[kind]
+    size = sorted(map(int, size), reverse=True)
+    decreasing, found = shipped(size, capacity)
+    assert P.least_bins(size, capacity) <= found <= decreasing - gain
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_no_packing_goes_under_the_bound(seed):
+    rng = np.random.default_rng(seed)
+    for _ in range(20):
+        size = rng.integers(1, 13, int(rng.integers(1, 9))).tolist()
+        assert P.least_bins(size, 12) <= fewest_bins(size, 12)
+
+
 def test_operators_keep_packings_valid_and_the_best():
     rng = np.random.default_rng(1)
     size = rng.integers(1, 100, 300).tolist()
