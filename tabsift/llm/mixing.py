@@ -4,16 +4,20 @@ A classifier of the labelled documents gives every document a posterior over
 domains: ``good``, ``toxic`` and ``poor``, from the columns quality and toxic.
 A document of t words at rate r then adds r * t * p[k] expected words to domain k.
 Rates are found by projected gradient on the squared distance between these
-totals and the targets, starting from 1 and kept at 0 or above. A pass over the
+totals and the targets, starting from 1 and kept at 0 or above. A pass over a
 table returns one number per domain, from which the next gradient follows; a
 document's rate is a function of its posterior and the gradients so far, so no
 rate is ever stored, shuffled or sent until the last one. Steps are measured in
 words, which makes them alike for short and long documents, and are accelerated
-by Nesterov's momentum. Where STEPS of them don't meet the targets, Newton steps
-in the dual finish: of the rates that do, those nearest to the rates so far are
-these less p @ shift, kept at 0 or above, and shift has one number per domain.
-A small weight on the distance (WEIGHT) makes this a least-squares solution
-where targets are out of reach, which is warned of.
+by Nesterov's momentum. They run over cells, not documents: posteriors that agree
+to 1 / CELLS are one row, with their words and their mean, so that all steps
+together read some 33 thousand rows at most, however many documents there are.
+What this leaves is closed over the documents themselves, whose totals decide
+whether the targets are met: where they aren't, Newton steps in the dual finish.
+Of the rates that meet the targets, those nearest to the rates so far are these
+less p @ shift, kept at 0 or above, and shift has one number per domain. A small
+weight on the distance (WEIGHT) makes this a least-squares solution where targets
+are out of reach, which is warned of.
 
 The classifier is softmax regression on hashed words and a few binned measures
 of form. It is fitted on the driver on LABEL_ROWS labelled documents at most,
@@ -50,7 +54,7 @@ from tabsift.llm.common import col, free_name, key_type, stash
 DOMAINS = ("good", "toxic", "poor")
 TARGETS = {"good": 0.90, "toxic": 0.02, "poor": 0.08}
 LABEL_ROWS, HASHED, LEAST_ROWS, SEED = 8000, 1 << 18, 5, 5
-STEPS, TOLERANCE, FIT_STEPS, RIDGE = 60, 5e-4, 150, 1e-3
+CELLS, STEPS, TOLERANCE, FIT_STEPS, RIDGE = 256, 60, 5e-4, 150, 1e-3
 #: Newton steps at most, the lengths tried in each pass, and the weight of the distance to the rates before.
 NEWTON, LENGTHS, WEIGHT = 100, 0.5 ** np.arange(10), 1e-8
 _FORM = 6 * 16  # binned measures come after the hashed words
@@ -231,14 +235,24 @@ def _sums(members: DataFrame, of: Callable[[np.ndarray], np.ndarray], n: int) ->
     return np.array(list(row), float)
 
 
+def cells(members: DataFrame) -> DataFrame:
+    """(n_words, p) of memberships that agree to 1 / CELLS: words and first moments are as before."""
+    p = [F.col("p")[k] for k in range(len(DOMAINS))]
+    at = [F.round(x * CELLS).cast("int").alias(f"k{i}") for i, x in enumerate(p[1:])]
+    sums = [F.sum(F.col("n_words") * x).alias(f"s{i}") for i, x in enumerate(p)]
+    sides = members.filter("n_words > 0").groupBy(*at).agg(F.sum("n_words").alias("n_words"), *sums)
+    return stash(sides.select("n_words", F.array(*[F.col(f"s{i}") / F.col("n_words") for i in range(len(p))]).alias("p")))
+
+
 def solve(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
-    """Fit the rates to a table of memberships(); it is read once for each step. Warns if the targets aren't met."""
+    """Fit the rates to a table of memberships(). Warns if the targets aren't met."""
     want = np.array([max(targets.get(d, 0.0), 0.0) for d in DOMAINS])
     if not want.sum() > 0:
         raise ValueError("a target must be above 0")
     want /= want.sum()
     k = len(DOMAINS)
-    gram = _sums(members, lambda p: np.einsum("ni,nj->nij", p, p).reshape(len(p), -1), k * k).reshape(k, k)
+    few = cells(members)
+    gram = _sums(few, lambda p: np.einsum("ni,nj->nij", p, p).reshape(len(p), -1), k * k).reshape(k, k)
     words = gram.sum()  # posteriors add up to 1
     if not words > 0:
         return Mix([], 0.0, want, np.zeros(k))
@@ -246,13 +260,14 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int =
     gradients: list[np.ndarray] = []
     while True:
         now = list(gradients)
-        both = _sums(members, lambda p: np.hstack([p * rates(p, now, step)[:, None], p * rates(p, now, step, True)[:, None]]), 2 * k) / words
-        if np.abs(both[:k] - want).max() <= tolerance:
-            return Mix(gradients, step, want, both[:k])
-        if len(gradients) == steps:
+        both = _sums(few, lambda p: np.hstack([p * rates(p, now, step)[:, None], p * rates(p, now, step, True)[:, None]]), 2 * k) / words
+        if np.abs(both[:k] - want).max() <= tolerance / 2 or len(gradients) == steps:
             break
         gradients.append(both[k:] - want)
-    mix = _finish(members, Mix(gradients, step, want, both[:k]), words, tolerance)
+    totals = _sums(members, lambda p: p * rates(p, now, step)[:, None], k) / words
+    mix = Mix(gradients, step, want, totals)
+    if mix.miss > tolerance:
+        mix = _finish(members, mix, words, tolerance)
     if mix.miss > tolerance:
         warnings.warn(f"mixing reaches {dict(zip(DOMAINS, mix.totals.round(4).tolist()))} for targets {dict(zip(DOMAINS, want.round(4).tolist()))}", RuntimeWarning, stacklevel=2)
     return mix
@@ -320,6 +335,8 @@ def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
             out.append(mix.rate(model.posterior(offs, number)))
         return pd.Series(np.concatenate(out) if out else [], dtype=float)
 
+    # not deterministic only by name: Spark then computes it once, and not again for the filter
+    rate = rate.asNondeterministic()
     copies, nth = free_name(docs, "__copies"), free_name(docs, "__nth")
     draw = F.pmod(F.xxhash64(F.lit(SEED), col(id_col), col(text_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     taken = docs.withColumn(copies, F.floor(rate(col(text_col).cast("string")) + draw).cast("int")).filter(col(copies) > 0)

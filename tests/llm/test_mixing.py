@@ -30,14 +30,19 @@ def test_rates_meet_the_targets_and_match_numpy(spark):
     r = mix.rate(p)
     got = (p * (r * words)[:, None]).sum(0) / words.sum()
     assert (r >= 0).all() and np.abs(got - mix.targets).max() < 2 * M.TOLERANCE and got == pytest.approx(mix.totals, abs=1e-9)
-    # the same steps without Spark
-    x = before = y = np.ones(400)
+    # the same steps without Spark, over cells
+    key = np.round(p[:, 1:] * M.CELLS) @ [1000, 1]
+    _, cell = np.unique(key, return_inverse=True)
+    words_of = np.bincount(cell, words)
+    p = np.stack([np.bincount(cell, words * p[:, k]) / words_of for k in range(3)], 1)
+    words, r = words_of, mix.rate(p)
+    x = before = y = np.ones(len(p))
     for k in range(len(mix.gradients)):
         g = (p * (y * words)[:, None]).sum(0) / words.sum() - mix.targets
         assert g == pytest.approx(mix.gradients[k], abs=1e-9)
         before, x = x, np.maximum(y - mix.step * (p @ g), 0)
         y = np.maximum(x + k / (k + 3) * (x - before), 0)
-    assert x == pytest.approx(r)
+    assert x == pytest.approx(M.rates(p, mix.gradients, mix.step))
 
 
 @pytest.mark.parametrize("targets", [M.TARGETS, corpus_pipeline.TARGETS])
@@ -65,6 +70,33 @@ def test_targets_out_of_reach(spark):
         M.solve(members(spark, [[1, 0, 0]], [1]), {"good": 0.0})
 
 
+def of_documents(spark, folder, targets):
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = M.document_rates(docs, labels, targets).collect()
+    p = np.array([[r.p_good, r.p_toxic, r.p_poor] for r in rows])
+    words, rate = (np.array([getattr(r, k) for r in rows], float) for k in ("n_words", "rate"))
+    share = p * (words / words.sum())[:, None]
+    want = np.array([targets[d] for d in M.DOMAINS])
+    return p, words, rate, (share * rate[:, None]).sum(0) - want
+
+
+@pytest.mark.parametrize("targets", [M.TARGETS, corpus_pipeline.TARGETS])
+def test_documents_meet_the_production_targets_or_come_as_near_as_can_be(spark, sf, targets):
+    big = sf.replace("0.001", "0.01")
+    _, _, rate, gap = of_documents(spark, big, targets)
+    assert (rate >= 0).all() and np.abs(gap).max() <= M.TOLERANCE
+    # few documents: at the least-squares optimum no rate above 0 has a gradient, and none at 0 wants to rise
+    p, words, rate, gap = of_documents(spark, sf, targets)
+    slope = p @ gap
+    assert (rate >= 0).all() and (np.abs(gap).max() <= M.TOLERANCE or (slope.min() > -2e-3 and (words / words.sum() * rate * np.abs(slope)).sum() < 2e-3))
+
+
+def test_a_text_is_read_once(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plan = M.resample(docs, labels)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
 LABELS = "doc_id long, quality int, toxic int"
 
 
