@@ -5,14 +5,18 @@ text. The ledger holds which (blob, rule and rule version) pairs were scanned,
 and what was found in them. A scan looks at unseen pairs only, once for each
 blob whatever number of paths and versions carry it; a report joins the findings
 of all blobs back to all paths. Raising a rule's version scans every blob again
-by that rule alone. Findings hold the secret's SHA-256, never the secret.
+by that rule alone. Findings hold the secret's SHA-256, never the secret; a
+private key's covers its body. What a run adds to the ledger is a written table,
+so that appending it scans nothing again.
 
 Defined results:
 * a null text is no version and has no blob; an empty text is one, without findings;
 * a null source is an empty folder, a null id an empty name, of the path;
 * repeated rows are one path with one blob and are reported once for each row id;
 * texts are searched whole; matches of one rule don't overlap, and equal matches
-  in a blob are one finding with a count.
+  in a blob are one finding with a count;
+* secrets of any length are taken whole: no rule ends a secret at a bound. (Names
+  of assigned secrets may go on for 40 characters after the telling word.)
 """
 
 from __future__ import annotations
@@ -40,15 +44,16 @@ class Rule:
     needles: tuple[str, ...] = ()
 
 
+_BODY = r"(?:[\r\n]+Proc-Type: [^\r\n]*[\r\n]+DEK-Info: [^\r\n]*)?[A-Za-z0-9+/=\\\r\n]*"
 RULES = [
-    Rule("assigned_secret", 3, "(?:" + "|".join(_any_case(w) for w in ("token", "secret", "passw", "api_key", "apikey")) + r")[A-Za-z_]{0,12}[\"']?[ \t]{0,4}[=:][ \t]{0,4}[\"']?[A-Za-z0-9_+/-]{16,128}"),
+    Rule("assigned_secret", 4, "(?:" + "|".join(_any_case(w) for w in ("token", "secret", "passw", "api_key", "apikey")) + r")[A-Za-z0-9_]{0,40}[\"']?[ \t]*[=:][ \t]*[\"']?[A-Za-z0-9_+/-]{16,}"),
     Rule("aws_access_key", 1, r"(?:AKIA|ASIA)[0-9A-Z]{16}", ("AKIA", "ASIA")),
     Rule("github_token", 1, r"gh[pousr]_[A-Za-z0-9]{36}", ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
-    Rule("slack_token", 1, r"xox[abprs]-[A-Za-z0-9-]{10,64}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
+    Rule("slack_token", 2, r"xox[abprs]-[A-Za-z0-9-]{10,}", ("xoxa-", "xoxb-", "xoxp-", "xoxr-", "xoxs-")),
     Rule("google_api_key", 1, r"AIza[0-9A-Za-z_-]{35}", ("AIza",)),
-    Rule("stripe_key", 1, r"[rs]k_live_[0-9A-Za-z]{24,99}", ("k_live_",)),
+    Rule("stripe_key", 2, r"[rs]k_live_[0-9A-Za-z]{24,}", ("k_live_",)),
     Rule("jwt", 2, r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", ("eyJ",)),
-    Rule("private_key", 1, r"-----BEGIN (?:[A-Z]{2,12} ){0,3}PRIVATE KEY-----", ("PRIVATE KEY-----",)),
+    Rule("private_key", 2, r"-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----" + _BODY, ("PRIVATE KEY-----",)),
 ]
 LEDGER = "blob string, rule string, rule_version int"
 FINDINGS = "blob string, rule string, rule_version int, secret string, n bigint"
@@ -69,7 +74,7 @@ def _search(rule: Rule, t: Column) -> Column:
 
 
 def scan(files: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
-    """(findings, ledger rows) of the pairs that ``ledger`` doesn't have, for rows of versions()."""
+    """(findings, ledger rows) of the pairs that ``ledger`` doesn't have, for rows of versions(); both are of one written table."""
     have = {r.name for r in rules}
     if len(have) < len(rules):
         raise ValueError("rule names must differ")
@@ -84,10 +89,11 @@ def scan(files: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] =
     else:
         blobs = files.groupBy("blob").agg(F.first("text").alias("text"))
         unseen = {r: F.lit(True) for r in rules}
-    each = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), F.when(unseen[r], _search(r, F.col("text"))).alias("secrets"), unseen[r].alias("new")) for r in rules]
-    scanned = blobs.select("blob", F.explode(F.array(*each)).alias("x")).select("blob", "x.*").filter("new")
-    secrets = scanned.filter(F.size("secrets") > 0).select("blob", "rule", "rule_version", F.explode("secrets").alias("s"))
-    findings = secrets.groupBy("blob", "rule", "rule_version", F.sha2("s", 256).alias("secret")).agg(F.count("*").alias("n"))
+    hashed = lambda found: F.transform(found, lambda x: F.sha2(x, 256))
+    each = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), F.when(unseen[r], hashed(_search(r, F.col("text")))).alias("secrets"), unseen[r].alias("new")) for r in rules]
+    scanned = stash(blobs.select("blob", F.array(*each).alias("x"))).select("blob", F.explode("x").alias("x")).select("blob", "x.*").filter("new")
+    secrets = scanned.filter(F.size("secrets") > 0).select("blob", "rule", "rule_version", F.explode("secrets").alias("secret"))
+    findings = secrets.groupBy("blob", "rule", "rule_version", "secret").agg(F.count("*").alias("n"))
     return findings, scanned.select("blob", "rule", "rule_version")
 
 
@@ -97,18 +103,17 @@ def report(files: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None, found: DataFrame | None = None, rules: list[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(report, ledger, findings), the latter two with what was known before; they are the state of the next run.
+    """(report, new ledger rows, new findings); the latter two are to be appended to ``ledger`` and ``found`` for the next run.
 
-    ``ledger`` and ``found`` are what an earlier run returned, and have the columns of LEDGER and FINDINGS.
+    ``ledger`` and ``found`` are what earlier runs returned, and have the columns of LEDGER and FINDINGS.
+    The report is of all findings, old and new, by the given rules and their versions.
     """
     files = versions(docs, id_col, text_col, source_col)
     findings, rows = scan(files, ledger, rules)
-    if found is not None:
-        now = F.broadcast(docs.sparkSession.createDataFrame([(r.name, r.version) for r in rules], "rule string, rule_version int"))
-        findings = stash(findings.unionByName(found))
-        return report(files, findings.join(now, ["rule", "rule_version"], "left_semi")), rows.unionByName(ledger) if ledger is not None else rows, findings
-    findings = stash(findings)
-    return report(files, findings), rows if ledger is None else rows.unionByName(ledger), findings
+    if found is None:
+        return report(files, findings), rows, findings
+    known = reduce(lambda a, b: a | b, [(F.col("rule") == r.name) & (F.col("rule_version") == r.version) for r in rules])
+    return report(files, findings.unionByName(found.filter(known))), rows, findings
 
 
 def report_sql(rules: list[Rule] = RULES) -> str:
