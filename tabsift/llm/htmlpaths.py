@@ -13,9 +13,12 @@ Defined results:
 * a null page gives a null text; a page without any text node gives ''; both
   give one row, as every row does, repeated rows and null ids too;
 * ill-formed markup never fails: unknown end tags are skipped, open elements are
-  closed by their parents, a lone ``<`` is text, and comments, scripts, styles
-  and templates that don't end run to the end of the page;
-* nesting of any depth and pages of any length are handled in one pass;
+  closed by their parents, a lone ``<`` is text, so is a tag without any ``>``
+  after it, and comments, scripts, styles and templates that don't end run to the
+  end of the page; once quotes keep a tag open to the end of the page, quotes
+  have no meaning from that tag on;
+* nesting of any depth and pages of any length are handled in one pass, whose
+  time is proportional to the page whatever the markup;
 * equal scores are selected alike.
 """
 
@@ -32,31 +35,74 @@ from pyspark.sql import DataFrame
 from tabsift.llm.common import col, key_type
 
 THRESHOLD, RADIUS, SIGMA = 0.8, 2, 1.0
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+>|[^>]*>)""", re.S)
+_NAME, _STOP = re.compile(r"[a-zA-Z][^\s/>]*"), re.compile("""[>"']""")
+_NUMBER = re.compile(r"&#[0-9]{9,};?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style template noscript iframe svg textarea title".split())
 _INLINE = frozenset("b i em strong u s a span font small big sub sup mark code tt abbr cite q br wbr".split())
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _BLOCKS = frozenset("p div ul ol li dl table form h1 h2 h3 h4 h5 h6 section article aside nav header footer main pre blockquote hr figure".split())
-_SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
 _PUNCT = re.compile(r"""[.,;:!?…。，；：！？、'"“”‘’«»()\-]""")
 _SPACE = re.compile(r"\s+")
 
 
+class Tags:
+    """The tags of a page, one after the other; no part of a page is looked at more than a few times."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.size = page, len(page)
+        self.quoted = True
+        self.last = {q: page.rfind(q) for q in "\"'>"}
+
+    def next(self, at: int) -> tuple[int, int, str | None, bool] | None:
+        """(begin, end, name or None if it isn't an element's, whether it ends one) of the first tag from ``at`` on."""
+        page, size = self.page, self.size
+        while True:
+            begin = page.find("<", at)
+            if begin < 0:
+                return None
+            if page.startswith("<!--", begin):
+                end = page.find("-->", begin + 4)
+                return begin, size if end < 0 else end + 3, None, False
+            if page.startswith(("<!", "<?"), begin):
+                return begin, size if begin > self.last[">"] else page.find(">", begin) + 1, None, False
+            if begin > self.last[">"]:
+                return None
+            closing = page.startswith("</", begin)
+            name = _NAME.match(page, begin + 1 + closing)
+            if name:
+                return begin, self._end(name.end()), name[0].lower(), closing
+            at = begin + 1
+
+    def _end(self, start: int) -> int:
+        at = start
+        while self.quoted:
+            stop = _STOP.search(self.page, at)
+            if stop and stop[0] == ">":
+                return stop.end()
+            if stop is None or stop.start() == self.last[stop[0]]:
+                self.quoted = False
+            else:
+                at = self.page.find(stop[0], stop.end()) + 1
+        return self.page.find(">", start) + 1
+
+
 def text_nodes(page: str) -> tuple[list[int], list[str], list[bool]]:
     """(path number, text, whether a block boundary precedes it) of a page's text nodes in order."""
     ids: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int]] = [("", 0)]
+    # of each open element: its name, its path, and the nearest from it on that isn't inline, or neither that nor a paragraph
+    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]
     open_count: dict[str, int] = {}
     paths, texts, breaks = [], [], []
     at, size, broken = 0, len(page), True
+    tags = Tags(page)
 
     def pop() -> None:
         open_count[stack.pop()[0]] -= 1
 
     def add(raw: str) -> None:
         nonlocal broken
-        t = _SPACE.sub(" ", html.unescape(raw) if "&" in raw else raw).strip()
+        t = _SPACE.sub(" ", html.unescape(_NUMBER.sub("\ufffd", raw)) if "&" in raw else raw).strip()
         if t:
             paths.append(stack[-1][1])
             texts.append(t)
@@ -64,20 +110,19 @@ def text_nodes(page: str) -> tuple[list[int], list[str], list[bool]]:
             broken = False
 
     while at < size:
-        m = _TAG.search(page, at)
-        if m is None:
+        found = tags.next(at)
+        if found is None:
             add(page[at:])
             break
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
+        begin, end, tag, closing = found
+        if begin > at:
+            add(page[at:begin])
+        at = end
         if tag is None:
             continue
-        tag = tag.lower()
         if tag not in _INLINE or tag == "br":
             broken = True
-        if m[1]:
+        if closing:
             if open_count.get(tag):
                 while stack[-1][0] != tag:
                     pop()
@@ -86,26 +131,22 @@ def text_nodes(page: str) -> tuple[list[int], list[str], list[bool]]:
         if tag in _VOID:
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else size
+            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = close.end() if close else size
             continue
         if tag in _BLOCKS and open_count.get("p"):
-            k = len(stack) - 1
-            while stack[k][0] in _INLINE:
-                k -= 1
+            k = stack[-1][2]
             if stack[k][0] == "p":
                 while len(stack) > k:
                     pop()
         closes = _CLOSES.get(tag)
         if closes:
-            k = len(stack) - 1
-            while k and stack[k][0] not in closes and stack[k][0] not in _SCOPE[tag] and stack[k][0] in _INLINE | {"p"}:
-                k -= 1
+            k = stack[-1][3]
             if stack[k][0] in closes:
                 while len(stack) > k:
                     pop()
-        key = (stack[-1][1], tag)
-        stack.append((tag, ids.setdefault(key, len(ids) + 1)))
+        key, k, above = (stack[-1][1], tag), len(stack), stack[-1]
+        stack.append((tag, ids.setdefault(key, len(ids) + 1), above[2] if tag in _INLINE else k, above[3] if tag in _INLINE or tag == "p" else k))
         open_count[tag] = open_count.get(tag, 0) + 1
     return paths, texts, breaks
 

@@ -2,8 +2,10 @@ import html
 import math
 import random
 import re
+import time
 from collections import Counter
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -48,7 +50,7 @@ def test_selection_by_definition():
 
 
 def test_accuracy(spark, sf):
-    pages = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet").limit(600)
+    pages = spark.read.parquet(f"{sf.replace('0.001', '0.1')}/pages.parquet")
     truth = {r.page_id: re.search(r"(?s)<article[^>]*>(.*?)</article>", r.html)[1] for r in pages.collect() if "<article" in r.html}
     scores = []
     for r in H.extract_pages(pages).collect():
@@ -61,12 +63,22 @@ def test_accuracy(spark, sf):
 
 
 def test_markup_that_is_not_well_formed():
-    for page, want in (("a < b", "a < b"), ("<p>x", "x"), ("</div>y", "y"), ("<script>never ends", ""), ("<!-- never ends", ""), ("<a title='q>t", "t"), ("<p/>z", "z"), ("&lt;b&gt;", "<b>")):
+    for page, want in (("a < b", "a < b"), ("<p>x", "x"), ("</div>y", "y"), ("<script>never ends", ""), ("<!-- never ends", ""), ("<a title='q>t", "t"), ("x <a href='y", "x <a href='y"), ('<i a=">">b</i>', "b"), ("<a b=' c>d<a e='>f", "f"), ("&#99999999999;", "\ufffd"), ("<p/>z", "z"), ("&lt;b&gt;", "<b>")):
         assert H.extract(page)[0] == want
     deep = "<div>" * 50_000 + "text, here." + "</div>" * 50_000
     assert H.extract(deep)[0] == "text, here."
 
 
+@pytest.mark.parametrize(
+    "unit, before, after",
+    [("<a", "", ""), ('<a "', "", ""), ("<a<", "", ">"), ('<a ">"', "", '"'), ("<a '>", "", ""), ("<!--", "", ""), ("<b>", "<p><foo>", "<div></div>" * 20_000), ("<b>", "<ul><p>", "<li></li>" * 20_000), ("</script ", "<script>", ""), ("&#", "", ""), ("9", "&#", ";"), ("<title>", "", "")],
+)
+def test_time_is_proportional_to_the_page(unit, before, after):
+    began = time.perf_counter()
+    H.extract(before + unit * 100_000 + after)
+    assert time.perf_counter() - began < 3
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="<>/!-\"' abp&;=", max_size=60))
 def test_never_fails(page):
