@@ -1,9 +1,9 @@
 """Distribution functions as column expressions, and a few as vectorised functions.
 
-Tail areas of Student's t come from the angle form: with u = atan(|t| / sqrt(df))
-the two-sided p is the share of cos(x)^(df - 1) that lies beyond u on [0, pi/2].
-Simpson's rule with 200 intervals, on a range that ends where the integrand has
-vanished, is exact to some ten digits and stays inside the JVM.
+Tail areas of Student's t come from the incomplete beta function, over Arrow
+batches. The SQL that checks them has another form: with u = atan(|t| / sqrt(df))
+the two-sided p is the share of cos(x)^(df - 1) that lies beyond u on [0, pi/2],
+by Simpson's rule with 2000 intervals.
 """
 
 from __future__ import annotations
@@ -11,31 +11,26 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Z975 = 1.959963984540054
-_PANELS = 200
+_PANELS = 2000
 
 
-def _simpson(low: Column, high: Column, power: Column) -> Column:
-    h = (high - low) / F.lit(float(_PANELS))
-
-    def term(i: Column) -> Column:
-        weight = F.when((i == 0) | (i == _PANELS), 1.0).when(i % 2 == 1, 4.0).otherwise(2.0)
-        return weight * F.pow(F.greatest(F.cos(low + h * i), F.lit(0.0)), power)
+def t_two_sided(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t, by the incomplete beta function, in Arrow batches."""
 
-    total = F.aggregate(F.sequence(F.lit(0), F.lit(_PANELS)), F.lit(0.0), lambda acc, i: acc + term(i))
-    return total * h / 3
+    @F.pandas_udf("double")
+    def p(t: pd.Series, df: pd.Series) -> pd.Series:
+        known = (t.notna() & df.notna()).to_numpy()
+        out = np.full(len(t), np.nan)
+        x, n = t.to_numpy(float)[known], df.to_numpy(float)[known]
+        out[known] = beta_cdf(n / (n + x * x), n / 2, np.full(len(n), 0.5))
+        return pd.Series(out)
 
-
-def t_two_sided(t: Column, df: Column) -> Column:
-    """P(|T| >= |t|) of Student's t."""
-    df = df.cast("double")
-    start = F.atan(F.abs(t) / F.sqrt(df))
-    end = F.least(F.lit(math.pi / 2), F.lit(12.0) / F.sqrt(df))
-    beyond = F.when(start >= end, 0.0).otherwise(_simpson(start, end, df - 1))
-    return F.least(beyond / _simpson(F.lit(0.0), end, df - 1), F.lit(1.0))
+    return p(t.cast("double"), df.cast("double"))
 
 
 def t_two_sided_sql(t: str, df: str) -> str:
@@ -46,7 +41,7 @@ def t_two_sided_sql(t: str, df: str) -> str:
         return f"(list_sum(list_transform(range(0, {_PANELS + 1}), lambda i: (CASE WHEN i = 0 OR i = {_PANELS} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END) * pow(greatest(cos({low} + {h} * i), 0.0), ({df}) - 1))) * {h} / 3)"
 
     start = f"atan(abs({t}) / sqrt({df}))"
-    end = f"least(pi() / 2, 12.0 / sqrt({df}))"
+    end = f"least(pi() / 2, 9.0 / sqrt({df}))"
     return f"least((CASE WHEN {start} >= {end} THEN 0.0 ELSE {simpson(start, end)} END) / {simpson('0.0', end)}, 1.0)"
 
 
@@ -78,7 +73,16 @@ def chi_square_yates_sql(a: str, b: str, c: str, d: str) -> str:
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
-    return np.frompyfunc(math.lgamma, 1, 1)(x).astype(float)
+    """Of positive numbers: Stirling's series from 10 on, which smaller ones are raised to."""
+    x = np.asarray(x, float)
+    up, less = x.copy(), np.zeros_like(x)
+    for _ in range(10):
+        low = up < 10
+        less = np.where(low, less + np.log(np.where(low, up, 1.0)), less)
+        up = np.where(low, up + 1, up)
+    z = 1 / (up * up)
+    series = (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z * (1 / 1680 - z / 1188)))) / up
+    return (up - 0.5) * np.log(up) - up + 0.5 * math.log(2 * math.pi) + series - less
 
 
 def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -91,12 +95,15 @@ def beta_cdf(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
     h = d.copy()
     for m in range(1, 300):
+        before = h
         for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
             d = 1 + num * d
             d = 1 / np.where(np.abs(d) < tiny, tiny, d)
             c = 1 + num / c
             c = np.where(np.abs(c) < tiny, tiny, c)
             h = h * d * c
+        if np.allclose(h, before, rtol=1e-14, atol=0, equal_nan=True):
+            break
     with np.errstate(divide="ignore"):
         front = np.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
     out = np.clip(front * h, 0, 1)
@@ -153,11 +160,25 @@ def gamma_fit(mean: float, mean_log: float) -> tuple[float, float]:
     return k, k / mean
 
 
-def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
+def fisher_p(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """Fisher's exact test: the probability of all tables with these margins that are no likelier than this one."""
+    a, b, c, d = (np.asarray(x, np.int64) for x in (a, b, c, d))
     r, col, n = a + b, a + c, a + b + c + d
-    lf = math.lgamma
-    lp = lambda k: lf(r + 1) - lf(k + 1) - lf(r - k + 1) + lf(n - r + 1) - lf(col - k + 1) - lf(n - r - col + k + 1) - (lf(n + 1) - lf(col + 1) - lf(n - col + 1))
-    logs = [lp(k) for k in range(max(0, col - (n - r)), min(r, col) + 1)]
-    cut = lp(a) + 1e-7
-    return min(1.0, sum(math.exp(x) for x in logs if x <= cut))
+    low, high = np.maximum(0, col - (n - r)), np.minimum(r, col)
+    row = np.repeat(np.arange(len(a)), high - low + 1)
+    k = np.arange(len(row)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[row]
+    lf = lambda x: log_gamma(x + 1.0)
+    fixed = lf(r) + lf(n - r) + lf(col) + lf(n - col) - lf(n)
+    logs = lambda k, i: fixed[i] - lf(k) - lf(r[i] - k) - lf(col[i] - k) - lf(n[i] - r[i] - col[i] + k)
+    here, own = logs(k, row), logs(a, np.arange(len(a)))
+    return np.minimum(np.bincount(row, np.where(here <= own[row] + 1e-7, np.exp(here), 0.0), len(a)), 1.0)
+
+
+def fisher(a: str, b: str, c: str, d: str) -> Column:
+    """fisher_p() of columns."""
+
+    @F.pandas_udf("double")
+    def p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+        return pd.Series(fisher_p(a, b, c, d))
+
+    return p(a, b, c, d)

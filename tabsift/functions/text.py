@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -65,7 +66,8 @@ REPAIRS = [
     ("·", "."),
     ("−", "-"),
     ("N/A|n/a", " "),
-    (r' toggle="yes"|</?(?:italic|bold|sup|sub)>', ""),
+    (' toggle="yes"', ""),
+    (r"</?(?:italic|bold|sup|sub)>", ""),
 ]
 HYPHEN_GAP = (r"(?U)-\W(?=\d)", " ")
 
@@ -77,16 +79,18 @@ def repair_numbers(x: Column) -> Column:
 
 
 def parse_date(x: Column) -> Column:
-    """A date in numbers, month first if that is possible, else day first; else year first."""
+    """A date in numbers, month first if that is possible, else day first; else year first. Two-digit years are from 1969 to 2068."""
     formats = ["M/d/yyyy", "d/M/yyyy", "yyyy/M/d"]
     plain = F.regexp_replace(F.trim(x), "-", "/")
-    plain = F.regexp_replace(plain, r"/([0-9]{2})$", "/20$1")
+    plain = F.regexp_replace(plain, r"/(0[0-9]|[1-5][0-9]|6[0-8])$", "/20$1")
+    plain = F.regexp_replace(plain, r"/(69|[7-9][0-9])$", "/19$1")
     return F.coalesce(*[F.try_to_timestamp(plain, F.lit(f)).cast("date") for f in formats])
 
 
 def dates_to_numbers(x: Column) -> Column:
     """Dates that stand alone, d/m/y or m/d/y, as days since 1970; texts are cut at dates and joined again."""
-    form = r"(?<=\s)(?:0?[1-9]|[12][0-9]|3[01])[/-](?:0?[1-9]|1[0-2])[/-](?:[0-9]{4}|[0-9]{2})(?=\s)"
+    day, month, year = "(?:0?[1-9]|[12][0-9]|3[01])", "(?:0?[1-9]|1[0-2])", "(?:[0-9]{4}|[0-9]{2})"
+    form = rf"(?<=\s)(?:{day}/{month}/{year}|{day}-{month}-{year})(?=\s)"
     found = F.regexp_extract_all(x, F.lit(f"({form})"), F.lit(1))
     parts = F.split(x, form)
     number = F.transform(found, lambda d: F.coalesce(F.unix_date(parse_date(d)).cast("string"), d))
@@ -126,24 +130,45 @@ def roman(n: int) -> str:
     return out
 
 
+#: Names that a look-up may have; it becomes one pattern in the plan.
+LOOKUP_ROWS = 20_000
+
+
+def _vocabulary(lookup: DataFrame, word: str, result: str | None = None) -> dict[str, str]:
+    """A look-up as a dictionary; of a word that is there twice the least result."""
+    rows = lookup.select(F.col(word).alias("w"), (F.col(result) if result else F.lit("")).alias("r")).filter("w IS NOT NULL").groupBy("w").agg(F.min("r").alias("r")).limit(LOOKUP_ROWS + 1).collect()
+    if len(rows) > LOOKUP_ROWS:
+        raise ValueError(f"a look-up of more than {LOOKUP_ROWS} names should be joined")
+    return {r.w: r.r for r in rows}
+
+
+def _first_of(x: Column, words: dict[str, str], whole: bool = False) -> Column:
+    """The result of the leftmost word in a text, of several there the longest; null without one."""
+    if not words:
+        return F.lit(None).cast("string")
+    some = "|".join(re.escape(w) for w in sorted(words, key=lambda w: (-len(w), w)))
+    found = F.nullif(F.regexp_extract(x, rf"\b({some})\b" if whole else f"({some})", 1), F.lit(""))
+    return F.create_map(*[F.lit(v) for kv in sorted(words.items()) for v in kv])[found]
+
+
 def find_country(papers: DataFrame, key: str, text: str, countries: DataFrame, tlds: DataFrame, states: DataFrame, capitals: DataFrame, tag: str | None = None) -> DataFrame:
     """(key, country) of affiliations: by tag, else by the first country named, the e-mail's domain, a state of the USA, or a capital.
 
-    Look-ups are lists of names, broadcast: countries(country), tlds(tld, country),
-    states(state), capitals(city, country). The leftmost match wins, and of
-    several there the longest.
+    Look-ups are lists of names of bounded length, which become patterns:
+    countries(country), tlds(tld, country), states(state), capitals(city,
+    country). The leftmost match wins, and of several there the longest; states
+    and capitals are whole words.
     """
-    base = papers.select(F.col(key), F.col(text).alias("__t"), (F.col(tag) if tag else F.lit(None).cast("string")).alias("__tag"))
-
-    def first(lookup: DataFrame, word: str, result: Column, rank: int) -> DataFrame:
-        hits = base.crossJoin(F.broadcast(lookup)).withColumn("__at", F.instr(F.col("__t"), F.col(word)))
-        best = hits.filter("__at > 0").groupBy(key).agg(F.min_by(result, F.struct("__at", -F.length(F.col(word)))).alias("country"))
-        return best.withColumn("__rank", F.lit(rank))
-
-    tagged = base.filter("__tag IS NOT NULL").select(key, F.col("__tag").alias("country"), F.lit(0).alias("__rank"))
-    named = first(countries, "country", F.col("country"), 1)
-    mailed = base.withColumn("tld", F.regexp_extract(F.lower("__t"), r"@[a-z0-9.\-]+\.([a-z]{2,6})", 1)).join(F.broadcast(tlds), "tld").select(key, "country", F.lit(2).alias("__rank"))
-    state = first(states, "state", F.lit("USA"), 3)
-    capital = first(capitals, "city", F.col("country"), 4)
-    found = reduce(DataFrame.unionByName, [tagged, named, mailed, state, capital]).groupBy(key).agg(F.min_by("country", "__rank").alias("country"))
-    return papers.select(key).join(found, key, "left")
+    t = F.col(text)
+    country, state = _vocabulary(countries, "country"), _vocabulary(states, "state")
+    domain = F.regexp_extract(F.lower(t), r"@[a-z0-9.\-]+\.([a-z]{2,6})", 1)
+    tld = _vocabulary(tlds, "tld", "country")
+    by_domain = F.create_map(*[F.lit(v) for kv in sorted(tld.items()) for v in kv])[domain] if tld else F.lit(None).cast("string")
+    found = F.coalesce(
+        F.col(tag) if tag else F.lit(None).cast("string"),
+        _first_of(t, {c: c for c in country}),
+        by_domain,
+        _first_of(t, dict.fromkeys(state, "USA"), whole=True),
+        _first_of(t, _vocabulary(capitals, "city", "country"), whole=True),
+    )
+    return papers.select(key, found.alias("country"))

@@ -27,3 +27,8 @@ def cumulative(comparisons: DataFrame, series: str, order: list[str], statistics
     pooled = prefixes(kept, series, order).withColumn("pmcid", key)
     cut = F.split("pmcid", r"\|")
     return posterior(pooled).withColumns({series: cut[0], "step": cut[1].cast("int")}).drop("pmcid")
+
+
+def neaten(summaries: DataFrame, type_: str) -> DataFrame:
+    """(mean, lower, upper, var, n_table_rows, type) of posterior summaries, one row for each quantity."""
+    return summaries.select("mean", "lower", "upper", F.col("variable").alias("var"), F.col("n").alias("n_table_rows"), F.lit(type_).alias("type"))

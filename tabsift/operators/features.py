@@ -76,6 +76,12 @@ def collapse_rare(df: DataFrame, column: str, least: int, other: str = "Other")
     return df.join(n, F.col(column) == F.col("__v"), "left").withColumn(column, F.coalesce("__v", F.lit(other))).drop("__v")
 
 
+def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows of each group at random, the same ones whatever the order of rows: those with the least hashes of their key."""
+    w = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), key), key)
+    return df.withColumn("__k", F.row_number().over(w)).filter(F.col("__k") <= n).drop("__k")
+
+
 def size_variance_by_flag(table: DataFrame, flags: DataFrame) -> DataFrame:
     """(any_difference, flagged, n): do groups' sizes differ, against being flagged; with totals, whose key is null."""
     v = table.groupBy("pmcid").agg((F.coalesce(F.var_samp("sample_size"), F.lit(0.0)) > 0).alias("any_difference"))

@@ -142,6 +142,17 @@ def summarise(studies: DataFrame) -> DataFrame:
     return studies.select("pmcid", "size", "n_rows", F.explode(F.array(precision, flag)).alias("x")).select("pmcid", "size", F.col("n_rows").alias("n"), "x.*")
 
 
+def flagged_precision(summaries: DataFrame, cut: float = 1e6) -> DataFrame:
+    """Precisions of the studies that are out of the spike, by ``facet``; those of a multiplier beyond ``cut`` are marked ``truncated``.
+
+    ``summaries`` is of summarise(); a study is out of the spike where its flag's median isn't 0.
+    """
+    out = summaries.filter((F.col("nicevar") == "Precision flag") & (F.col("median") != 0)).select("pmcid")
+    precise = summaries.filter(F.col("nicevar") == "Precision").join(out, "pmcid", "left_semi")
+    facet = F.when(F.col("mean") < 0, "Over-dispersed").otherwise("Under-dispersed")
+    return precise.withColumns({"facet": facet, "truncated": F.col("mean") > F.log(F.lit(cut))})
+
+
 def count_issues(classified: DataFrame, group: str) -> DataFrame:
     """(group, issue, n, percent of the group)."""
     n = classified.groupBy(group, "issue").agg(F.count(F.lit(1)).alias("n"))

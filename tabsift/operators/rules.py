@@ -158,6 +158,14 @@ def audit(marked: DataFrame) -> DataFrame:
     return lost.select("reason", "unit", F.when(F.col("unit") == "study", F.col("s")).when(F.col("unit") == "row", F.col("r")).otherwise(F.col("c")).alias("count"))
 
 
+def counted(table: DataFrame) -> DataFrame:
+    """(check_name, n): rule n, percentages out of range, which are counted and stay; and printed p-values that are kept, as they are from 0 to 1."""
+    outside = (F.col("statistic") == "percent") & ((F.col("stat1") < 0) | (F.col("stat1") > 100))
+    kept = (F.col("statistic") == "pvals") & F.col("stat1").between(0, 1)
+    n = table.agg(F.count_if(outside).alias("a"), F.count_if(kept).alias("b"))
+    return n.select(F.explode(F.create_map(F.lit("percent outside 0 to 100"), F.col("a"), F.lit("p values kept"), F.col("b"))).alias("check_name", "n"))
+
+
 def clean_sql(source: str, rules: list[Rule] = RULES, dropped: bool = False) -> str:
     """mark(), and unless ``dropped`` clean(), as one statement for DuckDB over a subquery with the table's columns."""
     cast = {"string": "VARCHAR", "double": "DOUBLE", "int": "INTEGER"}

@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabsift.functions import patterns as P
 from tabsift.functions import stats
 from tabsift.functions import text as T
-from tabsift.operators import comparisons, documents, evidence, features, posterior, simulate, tables, uniformity, validate
+from tabsift.operators import comparisons, documents, evidence, features, posterior, uniformity, validate
 from tabsift.plans import bridge
 from tabsift.plans.registry import query, read, rounded, rounded_sql
 from tabsift.plans.screening import _POSTERIOR_SQL, _studies
@@ -61,33 +58,11 @@ def f11_f12_plain_cells(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.md5(T.keep_allowed(F.lower(T.space_brackets(F.col("text"))))).alias("plain"))
 
 
-@query()
-def f13_f14_f15_cells(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame([("12 (34.5)",), ("56 (45–67)",), ("group a (n = 79)",), ("1 (2.3, 4.5)",), ("n",)], "x string")
-    return x.select("x", T.add_percent(F.col("x")).alias("percent"), T.flag_median(F.col("x")).alias("median"), T.sample_size_in(F.col("x")).alias("n"))
-
-
-@query()
-def f16_repairs(spark: SparkSession, d: str) -> DataFrame:
-    x = spark.createDataFrame([("(87,105)",), ("12,345",), ("22- 33",), ("1·5",), ("N/A",), ("on 12/31/2019 and",), ("5 000",)], "x string")
-    return x.select("x", T.repair_numbers(F.col("x")).alias("repaired"))
-
-
 @query("SELECT l_orderkey, l_linenumber, CAST(nullif(substr(regexp_replace(CAST(CAST(l_extendedprice AS DECIMAL(38, 10)) AS VARCHAR), '[^1-9]', '', 'g'), 1, 1), '') AS INTEGER) AS digit FROM lineitem")
 def f18_first_digit(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", features.first_digit(F.col("l_extendedprice")).alias("digit"))
 
 
-@query()
-def f19_f20_country(spark: SparkSession, d: str) -> DataFrame:
-    papers = read(spark, d, "supplier").join(F.broadcast(read(spark, d, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_suppkey").alias("pmcid"), F.concat(F.lit("Department of Trials, "), F.col("n_name")).alias("aff"))
-    countries = read(spark, d, "nation").select(F.col("n_name").alias("country"))
-    tlds = spark.createDataFrame([("uk", "UK"), ("fr", "France")], "tld string, country string")
-    states = spark.createDataFrame([("Ohio",)], "state string")
-    capitals = spark.createDataFrame([("Paris", "France")], "city string, country string")
-    return T.find_country(papers, "pmcid", "aff", countries, tlds, states, capitals).withColumn("name", T.country_name(F.col("country")))
-
-
 @query("SELECT o_orderkey, make_date(year(o_orderdate), coalesce(nullif(month(o_orderdate), 3), 6), coalesce(nullif(day(o_orderdate), 7), 15)) AS published FROM orders WHERE NOT (month(o_orderdate) = 3 AND day(o_orderdate) = 31)")
 def f21_dates(spark: SparkSession, d: str) -> DataFrame:
     o = read(spark, d, "orders").filter("NOT (month(o_orderdate) = 3 AND day(o_orderdate) = 31)")
@@ -108,53 +83,11 @@ def f24_math(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").select("o_orderkey", F.round(F.log(p), 6).alias("a"), F.round(F.log2(p), 6).alias("b"), F.round(F.sqrt(p), 6).alias("c"), F.bround(p / 1000, 0).alias("e"))
 
 
-@query("SELECT doc_id, regexp_matches(lower(text), 'meta.analysis|survey|protocol') AS no_trial, len(regexp_extract_all(lower(text), 'baseline|characteristic|demographic')) AS words, CASE WHEN regexp_matches(text, '[0-9]{16}') THEN 'long' WHEN regexp_matches(text, '[0-9]') THEN 'some' END AS reason FROM documents")
-def t2_t3_screening_words(spark: SparkSession, d: str) -> DataFrame:
-    low = F.lower("text")
-    reason = F.when(F.col("text").rlike("[0-9]{16}"), "long").when(F.col("text").rlike("[0-9]"), "some")
-    return _docs(spark, d).select("doc_id", low.rlike("meta.analysis|survey|protocol").alias("no_trial"), F.regexp_count(low, F.lit("baseline|characteristic|demographic")).cast("bigint").alias("words"), reason.alias("reason"))
-
-
 @query("SELECT doc_id, coalesce(len(regexp_extract_all(text, '[0-9]')) / nullif(len(regexp_extract_all(text, '[a-z]')), 0) >= 0.1, length(text) > 0) AS enough FROM documents")
 def t5_enough_numbers(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", documents.enough_numbers(F.col("text")).alias("enough"))
 
 
-WRAP = """<table-wrap id="T1"><label>Table 1</label><caption><p>Baseline characteristics of participants</p></caption><table><thead><tr><th>Variable</th><th>Drug (n = 40)</th><th>Placebo (n = 42)</th><th>P value</th></tr></thead>
-<tbody><tr><td>Age, mean (SD)</td><td>41.5 (10.2)</td><td>42.7 (11.9)</td><td>0.62</td></tr><tr><td>Female, n (%)</td><td>22 (55.0)</td><td>24 (57.1)</td><td>0.85</td></tr><tr><td>Weight, median (IQR)</td><td>71 (60–82)</td><td>70 (61–80)</td><td>0.77</td></tr></tbody></table></table-wrap>"""
-PAPER = f"""<article><front><article-meta><title-group><article-title>A randomised controlled trial of a drug</article-title></title-group><pub-date><year>2019</year><month>4</month></pub-date><aff>Clinic, London, United Kingdom</aff><abstract><p>We did a trial.</p></abstract></article-meta><journal-meta><journal-title>Journal</journal-title></journal-meta></front>
-<body><sec><title>Methods</title><p>Block randomisation was used.</p></sec><sec><title>Results</title><p>Groups were alike (<xref>Table 1</xref>), with p = 0.6 for age.</p>{WRAP}</sec></body></article>"""
-
-
-def _papers(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([("PMC1", PAPER), ("PMC2", PAPER.replace("A randomised", "Protocol of a randomised")), ("PMC3", "<article><body>"), ("PMC4", PAPER.replace("Baseline characteristics", "Outcomes"))], "pmcid string, xml string")
-
-
-@query()
-def t1_grid_cells(spark: SparkSession, d: str) -> DataFrame:
-    return tables.cells(spark.createDataFrame([("PMC1", WRAP)], "pmcid string, wrap string"))
-
-
-@query()
-def t_extract_table_data(spark: SparkSession, d: str) -> DataFrame:
-    return documents.extract(_papers(spark))["table_data"]
-
-
-@query()
-def t_extract_excluded(spark: SparkSession, d: str) -> DataFrame:
-    return documents.extract(_papers(spark))["excluded"]
-
-
-@query()
-def t32_p_values(spark: SparkSession, d: str) -> DataFrame:
-    return documents.extract(_papers(spark))["pvalues"]
-
-
-@query()
-def t33_design(spark: SparkSession, d: str) -> DataFrame:
-    return documents.extract(_papers(spark))["design"]
-
-
 _P_SQL = bridge.compare_sql(bridge.LINEITEM_SQL, p=True)
 _D_SQL = f"SELECT pmcid, max(n) AS n, max(greatest(i / n - p, p - (i - 1) / n)) AS d FROM (SELECT pmcid, p, row_number() OVER (PARTITION BY pmcid ORDER BY p) AS i, count(*) OVER (PARTITION BY pmcid) AS n FROM ({_P_SQL})) GROUP BY pmcid"
 
@@ -228,24 +161,6 @@ def m26_collapse_rare(spark: SparkSession, d: str) -> DataFrame:
     return features.collapse_rare(read(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("nation")), "nation", 60)
 
 
-@query()
-def m27_flag_tree(spark: SparkSession, d: str) -> DataFrame:
-    f = features.table_features(bridge.mixed_table(spark, d)).join(comparisons.compare(bridge.mixed_table(spark, d), p_values=False).groupBy("pmcid").agg((F.avg("t") > 0).cast("double").alias("y")), "pmcid")
-    return features.flag_tree(f, "y", ["ncol", "nrow", "size_spread", "log2_size"])[1].select("pmcid", "y", "prediction")
-
-
-@query()
-def m28_elastic_net(spark: SparkSession, d: str) -> DataFrame:
-    x = _docs(spark, d).select(
-        F.log2(F.col("n_chars") + 1).alias("y"),
-        F.log2(F.regexp_count("text", F.lit(r"\S+")) + 1).alias("words"),
-        F.log2(F.regexp_count("text", F.lit("[0-9]")) + 1).alias("digits"),
-        F.pmod("doc_id", F.lit(7)).cast("double").alias("remainder"),
-    )
-    kept, coefficients, ci = features.elastic_net(x, "y", ["words", "digits", "remainder"])
-    return spark.createDataFrame([(k, float(b), float(lo), float(hi)) for k, b, (lo, hi) in zip(kept, coefficients, ci)], "term string, estimate double, lower double, upper double")
-
-
 _TWO_BY_TWO = "SELECT c_nationkey AS k, count(*) FILTER (WHERE c_custkey % 2 = 0 AND c_acctbal > 4000) AS a, count(*) FILTER (WHERE c_custkey % 2 = 1 AND c_acctbal > 4000) AS b, count(*) FILTER (WHERE c_custkey % 2 = 0 AND c_acctbal <= 4000) AS c, count(*) FILTER (WHERE c_custkey % 2 = 1 AND c_acctbal <= 4000) AS d FROM customer GROUP BY 1"
 
 
@@ -260,32 +175,6 @@ def m29_chi_square(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_two_by_two(spark, d).select("k", stats.chi_square_yates(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("chi")))
 
 
-@query()
-def m30_fisher(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("double")
-    def p(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([stats.fisher_two_sided(*x) for x in zip(a, b, c, e)], dtype=float)
-
-    return rounded(_two_by_two(spark, d).select("k", p("a", "b", "c", "d").alias("p")))
-
-
-@query()
-def a16_exact_interval(spark: SparkSession, d: str) -> DataFrame:
-    @F.pandas_udf("lower double, upper double")
-    def interval(x: pd.Series, n: pd.Series) -> pd.DataFrame:
-        lo, hi = stats.exact_binomial_interval(x.to_numpy(), n.to_numpy())
-        return pd.DataFrame({"lower": lo, "upper": hi})
-
-    t = bridge.orders_table(spark, d).filter("`column` = 1")
-    return rounded(t.select("pmcid", "row", interval("stat1", "sample_size").alias("ci")).select("pmcid", "row", "ci.lower", "ci.upper"))
-
-
-@query()
-def a17_gamma_fit(spark: SparkSession, d: str) -> DataFrame:
-    m = read(spark, d, "orders").agg(F.avg("o_totalprice").alias("m"), F.avg(F.log("o_totalprice")).alias("l")).first()
-    return rounded(spark.createDataFrame([stats.gamma_fit(m["m"], m["l"])], "shape double, rate double"), 8)
-
-
 @query(
     f"""SELECT v AS any_difference, f AS flagged, count(*) AS n FROM (SELECT pmcid, coalesce(var_samp(sample_size), 0) > 0 AS v FROM ({bridge.LINEITEM_SQL}) GROUP BY 1) a
     LEFT JOIN (SELECT pmcid, p_flag >= 0.5 AS f FROM ({_POSTERIOR_SQL})) b ON a.pmcid = b.pmcid GROUP BY ROLLUP (v, f)"""
@@ -300,22 +189,6 @@ def m32_repeat_offenders(spark: SparkSession, d: str) -> DataFrame:
     return posterior.repeat_offenders(_studies(spark, d), known, 0.3).select("pmcid", "name")
 
 
-@query()
-def m18_extreme_papers(spark: SparkSession, d: str) -> DataFrame:
-    return posterior.extreme_and_random(posterior.classify(_studies(spark, d), 0.3), 5, 3).select("group", "pmcid", "n_rows", "issue")
-
-
-@query()
-def g9_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    flags = posterior.classify(posterior.posterior(comparisons.compare(simulate.scenarios(spark, 40, 7), p_values=False)))
-    return posterior.count_issues(flags.withColumn("scenario", F.regexp_replace("pmcid", "[0-9]+$", "")), "scenario")
-
-
-@query()
-def g7_blocking(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.blocking(spark, 200, 3).agg(F.stddev_samp("simple").alias("simple"), F.stddev_samp("blocked").alias("blocked"))
-
-
 @query(
     f"""SELECT a.statistic, count(*) AS n, round(avg(CASE WHEN abs(a.stat1 - b.stat1) <= 0.01 OR abs(a.stat1 - b.stat1) <= 0.01 * abs(b.stat1) THEN 1.0 ELSE 0.0 END), 6) AS match1,
     round(avg(CASE WHEN abs(a.stat2 - b.stat2) <= 0.01 OR abs(a.stat2 - b.stat2) <= 0.01 * abs(b.stat2) THEN 1.0 ELSE 0.0 END), 6) AS match2 FROM ({bridge.MIXED_SQL}) a JOIN (SELECT * REPLACE (stat1 * 1.02 AS stat1, stat2 * CASE WHEN "column" = 1 THEN 1.5 ELSE 1 END AS stat2) FROM ({bridge.MIXED_SQL})) b

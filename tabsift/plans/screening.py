@@ -187,8 +187,3 @@ def m10_own_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
 def m16_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     classified = posterior.classify(_studies(spark, sf_dir), 0.5).withColumn("part", F.length("pmcid"))
     return rounded(posterior.count_issues(classified, "part"))
-
-
-@query()
-def m15_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(posterior.summarise(_studies(spark, sf_dir)))

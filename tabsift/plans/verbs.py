@@ -268,11 +268,6 @@ def o1_o2_top(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(10).select("o_orderkey", "o_totalprice")
 
 
-@query()
-def o3_random_sample(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("o_orderstatus").orderBy(F.xxhash64(F.lit(17), "o_orderkey"))
-    return read(spark, d, "orders").withColumn("k", F.row_number().over(w)).filter("k <= 5").select("o_orderstatus", "o_orderkey")
-
 
 @query("SELECT 'c' AS id, c_custkey AS key, c_mktsegment AS seg FROM customer UNION ALL SELECT 's', s_suppkey, NULL FROM supplier")
 def u1_bind_rows(spark: SparkSession, d: str) -> DataFrame:

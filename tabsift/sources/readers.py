@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabsift.functions.na import as_number
@@ -36,8 +36,8 @@ def search_results(found: DataFrame, types: list[str]) -> DataFrame:
 
 def papers(spark: SparkSession, path: str) -> DataFrame:
     """(pmcid, xml) of a folder of XML files named by id; an empty file is an unavailable paper."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.col("_metadata.file_name"), r"(PMC[0-9]+)", 1).alias("pmcid"), F.col("value").alias("xml"))
-    return raw.withColumn("xml", F.when(F.length(F.trim("xml")) > 0, F.col("xml")))
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), r"(PMC[0-9]+)", 1).alias("pmcid"), F.col("value").alias("xml"))
+    return raw.withColumn("xml", F.when(F.col("xml").rlike(r"\S"), F.col("xml")))
 
 
 def converted_ids(spark: SparkSession, path: str) -> DataFrame:
@@ -47,10 +47,33 @@ def converted_ids(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.col("_pmcid").alias("pmcid"), F.col("_pmid").try_cast("bigint").alias("pmid"), F.col("_doi").alias("doi")).distinct()
 
 
-def csv_links(pages: DataFrame) -> DataFrame:
-    """(page, url) of the CSV files that a link page names: from each href to the closest .csv after it."""
-    found = F.regexp_extract_all("html", F.lit(r'href\s*=\s*["\']([^"\'<>]*?\.csv)["\']'), F.lit(1))
-    return pages.select("page", F.explode(found).alias("url")).distinct()
+def csv_links(pages: DataFrame, most: int = 200) -> DataFrame:
+    """(page, url) of the full addresses of CSV files on a link page: from each href to the closest .csv after it, ``most`` characters at most."""
+    after = F.slice(F.split("html", "href="), F.lit(2), F.size(F.split("html", "href=")))
+    # up to the closest .csv, which may lie beyond the next href
+    rest = F.transform(after, lambda x, i: F.array_join(F.slice(after, i + 1, F.size(after)), "href="))
+    url = F.transform(rest, lambda x: F.regexp_extract(x, r"(?s)^(.*?\.csv)", 1))
+    found = F.filter(F.transform(url, lambda u: F.regexp_replace(u, "^[\"']", "")), lambda u: F.startswith(u, F.lit("https")))
+    return pages.select("page", F.explode(found).alias("url")).filter(F.length("url") < most).distinct()
+
+
+def html_tables(pages: DataFrame) -> DataFrame:
+    """(page, table_no, r, c, text): the cells of every table of (page, html), tables counted from 1."""
+    from tabsift.operators import tables
+
+    one = pages.select("page", F.posexplode(F.split("html", "(?i)(?=<table)")).alias("table_no", "wrap")).filter("table_no > 0")
+    packed = one.select(F.to_json(F.struct("page", "table_no")).alias("pmcid"), "wrap")
+    key = F.from_json("pmcid", "page string, table_no int")
+    return tables.cells(packed).select(key["page"].alias("page"), key["table_no"].alias("table_no"), "r", "c", "text")
+
+
+def lookup_table(pages: DataFrame, table_no: int, columns: dict[str, str], header: bool = True) -> DataFrame:
+    """A lookup of the n-th table of a page: ``columns`` maps headings, or c0, c1 and so on without ``header``, to names."""
+    cells = html_tables(pages).filter(F.col("table_no") == table_no)
+    head = cells.filter("r = 0").select("page", "c", F.col("text").alias("heading")) if header else cells.select("page", "c", F.concat(F.lit("c"), F.col("c").cast("string")).alias("heading")).distinct()
+    body = cells.filter(F.col("r") >= int(header)).join(head, ["page", "c"])
+    wide = body.groupBy("page", "r").agg(*[F.max(F.when(F.col("heading") == k, F.col("text"))).alias(v) for k, v in columns.items()])
+    return wide.select("page", *columns.values())
 
 
 TRIALSTREAMER = ["pmid", "doi", "num_randomized"]
@@ -77,13 +100,16 @@ def _number(df: DataFrame, *names: str) -> Column:
 
 
 def means_by_trial(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
-    """Sheets of means by trial, one CSV file for each journal, as a table of summary statistics with ``journal``."""
+    """Sheets of means by trial, one CSV file for each journal, as a table of summary statistics with ``journal``.
+
+    Trials are numbered by journal; those of which there is one group only go.
+    """
     parts = []
     for journal, path in sorted(paths.items()):
         s = _sheet(spark, path)
         parts.append(
             s.select(
-                F.col("trial").alias("pmcid"),
+                F.concat(F.lit(journal), F.col("trial")).alias("pmcid"),
                 _number(s, "measure").alias("row"),
                 _number(s, "group").cast("int").alias("column"),
                 F.lit("continuous").alias("statistic"),
@@ -97,7 +123,8 @@ def means_by_trial(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
                 F.lit(journal).alias("journal"),
             )
         )
-    return reduce(DataFrame.unionByName, parts)
+    last = F.max("column").over(Window.partitionBy("pmcid"))
+    return reduce(DataFrame.unionByName, parts).withColumn("last", last).filter("last > 1").drop("last")
 
 
 def results_with_sizes(spark: SparkSession, results: str, sizes: str) -> DataFrame:
