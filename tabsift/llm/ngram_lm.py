@@ -1,24 +1,33 @@
-"""Language-model scoring: interpolated modified Kneser-Ney bigrams.
-
-Spark counts; workers look up. A map side reduces the bigrams of millions of
-words to sorted arrays before anything is shuffled; a shard merges the arrays
-of all map tasks and writes its bigrams as a sorted array of 64-bit hashes with
-their counts. Context totals, numbers of followers by count, and continuation
-counts, which add up over shards, go on to shards of words, written likewise.
-Workers then map the arrays into memory, so that all of a machine's workers
-share one copy in the page cache, and look sorted batches of bigrams up.
-
-p(w | v) = max(c(v w) - D(c), 0) / c(v .) + g(v) * p1(w), with p1 the same over
-continuation counts, interpolated with one part in V + 1 for each of V known
-words and for an unknown one. D has three values by count, estimated from the
-numbers of bigrams (words) seen once to four times; where one of these numbers
-is 0, D falls back to 0.5, 1 and 1.5.
+"""Language-model scoring: interpolated modified Kneser-Ney n-grams of order 2 or 3.
+
+Spark counts; workers look up. A map side reduces the trigrams of millions of
+words to sorted arrays before anything is shuffled. Trigrams (u, v, w) go to
+shards by their middle word: a shard has all that precedes and all that follows
+(v, w) and (u, v), so it counts the trigrams, the distinct predecessors of each
+bigram (v, w), which are its count at the order below, and the followers of each
+context (u, v), in one exchange. What is known of single words adds up over
+shards and goes on to shards of words. Each shard writes its n-grams as sorted
+arrays of 64-bit hashes, which workers map into memory, so that all of a
+machine's workers share one copy in the page cache.
+
+p(w | u v) = max(c(u v w) - D3(c), 0) / c(u v .) + g(u v) * p(w | v), with
+p(w | v) the same over distinct predecessors a(v w), and p(w) over those of w,
+interpolated with one part in V + 1 for each of V known words and for an unknown
+one. D has three values by count at each order, estimated from the numbers of
+n-grams counted once to four times; where one of these numbers is 0, D falls back
+to 0.5, 1 and 1.5. An unseen context leaves all to the order below. At order 2,
+bigrams have their own counts and there is nothing above them.
 
 Words are lower-cased runs of letters and digits, as 48-bit hashes; a text is
-framed by marks for its start and its end, and the end is predicted too.
+framed by as many marks for its start as a context has words, and one for its
+end, which is predicted too. On disk a hash is cut to the bits that tell it from
+the others of its shard, 32 beyond an index of some 8 entries a slot; n-grams
+counted once, the most, have no count beside them.
 
-Frequent first words are spread over shards by their second word; which words
-these are comes from a bounded sample and decides only where a count is made.
+Frequent middle words are spread over some shards by the word that follows; their
+contexts' sums are put together in a second step. Which words these are comes from
+a bounded sample, as do the short codes that frequent words have in the exchange;
+both decide only where a count is made and in how many bytes.
 
 Defined results:
 * null, empty and word-less texts count nowhere; their perplexity is null;
@@ -38,7 +47,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabsift.llm import kernels as K
@@ -46,13 +55,16 @@ from tabsift.llm.common import col, key_type, local_path, shared_dir
 
 U64 = np.uint64
 START, END = U64(1), U64(2)
-FLUSH, SCORE = 3_000_000, 1_000_000
-HOT_ROWS = 2000
-WORD_DT = np.dtype([("cont", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("total", "<u8")])
+ORDER, FLUSH, SCORE = 3, 3_000_000, 1_000_000
+#: Bounds of the sample; a text counts with its first SAMPLE_CHARS characters there.
+SAMPLE_ROWS, SAMPLE_CHARS, CODES = 2000, 20_000, 65_535
+WORD_DT = np.dtype([("cont", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8"), ("total", "<u8")])
+STAT_DT = np.dtype([("total", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8")])
+_NONE = np.zeros(0, U64)
 
 
-def events(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(first word, second word, row) of all bigrams of a column, in parts of whole rows."""
+def events(texts: pa.Array, order: int = ORDER) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(u, v, w, row) of all trigrams of a column, in parts of whole rows; at order 2 u is 0."""
     data, offs = K.buffers(K.lower(texts))
     n, first = len(offs) - 1, 0
     while first < n:
@@ -60,91 +72,164 @@ def events(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray
         h, row = K.tokens(data[offs[first] : offs[last]], offs[first : last + 1] - offs[first])
         if len(h):
             h = h >> U64(16)
+            ends = np.append(np.flatnonzero(row[1:] != row[:-1]) + 1, len(h))
+            w = np.insert(h, ends, END)  # an end after each text's last word
+            row = np.insert(row, ends, row[ends - 1])
             new = np.concatenate(([True], row[1:] != row[:-1]))
-            before = np.concatenate(([START], h[:-1]))
-            before[new] = START
-            ends = np.append(np.flatnonzero(new)[1:], len(h)) - 1
-            yield np.concatenate((before, h[ends])), np.concatenate((h, np.full(len(ends), END))), np.concatenate((row, row[ends])) + first
+            v = np.concatenate(([START], w[:-1]))
+            v[new] = START
+            u = np.zeros(len(w), U64)
+            if order > 2:
+                u[1:] = v[:-1]
+                u[new] = START
+            yield u, v, w, row + first
         first = last
 
 
-def shard_of(v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray) -> np.ndarray:
-    s = K.mix(v, 51)
+def mid_shard(v: np.ndarray, w: np.ndarray, shards: int, hot: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Where trigrams with this middle and last word are counted; ``spread``: over how many shards a frequent middle word goes."""
+    s = K.mix(v, 51) >> U64(20)
     if len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, v), len(hot) - 1)] == v
-        s = np.where(is_hot, s + K.mix(w, 52), s)
-    return ((s >> U64(20)) % U64(shards)).astype(np.int32)
+        at = np.minimum(np.searchsorted(hot, v), len(hot) - 1)
+        s = np.where(hot[at] == v, s + (K.mix(w, 52) >> U64(20)) % spread[at].astype(U64), s)
+    return (s % U64(shards)).astype(np.int32)
 
 
-def word_shard(w: np.ndarray, shards: int) -> np.ndarray:
-    return ((K.mix(w, 55) >> U64(20)) % U64(shards)).astype(np.int32)
+def key_shard(k: np.ndarray, shards: int) -> np.ndarray:
+    return ((K.mix(k, 55) >> U64(20)) % U64(shards)).astype(np.int32)
 
 
-def bigram_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return K.mix(w ^ K.mix(v, 53), 54)
 
 
-def _merge(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (v, w) in ascending order with summed counts."""
-    order = np.lexsort((w, v))
-    v, w, c = v[order], w[order], c[order]
-    new = np.flatnonzero(np.concatenate(([True], (v[1:] != v[:-1]) | (w[1:] != w[:-1]))))
-    return v[new], w[new], np.add.reduceat(c, new)
+def triple_key(pair: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of (u, v), by its pair_key, and w."""
+    return K.mix(w ^ K.mix(pair, 56), 57)
 
 
-def _six(x: np.ndarray) -> bytes:
-    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+# arrays in the exchange
+
+
+def _six(x: np.ndarray) -> np.ndarray:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].reshape(-1)
 
 
 def _from_six(raw: np.ndarray) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = raw.reshape(-1, 6)
-    return out.view("<u8").reshape(-1)
+    return out.view("<u8").reshape(-1).astype(U64)
+
+
+def _small(x: np.ndarray) -> list[np.ndarray]:
+    """Numbers in one byte each, those from 255 on apart."""
+    big = x >= 255
+    return [np.where(big, 255, x).astype(np.uint8), x[big].astype("<u8")]
+
 
+def _coded(x: np.ndarray, codes: np.ndarray) -> list[np.ndarray]:
+    """Words as two bytes where they have a code, others as CODES and six bytes apart."""
+    at = np.minimum(np.searchsorted(codes, x), max(len(codes) - 1, 0))
+    known = codes[at] == x if len(codes) else np.zeros(len(x), bool)
+    return [np.where(known, at, CODES).astype("<u2"), _six(x[~known])]
 
-def _small(c: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts in one byte each, those from 255 on apart."""
-    big = c >= 255
-    return np.where(big, 255, c).astype(np.uint8).tobytes(), c[big].astype("<u8").tobytes()
 
+def _join(parts: list[np.ndarray]) -> bytes:
+    raw = [np.ascontiguousarray(p).tobytes() for p in parts]
+    return np.array([len(raw), *map(len, raw)], "<u8").tobytes() + b"".join(raw)
 
-def pack(v: np.ndarray, w: np.ndarray, c: np.ndarray) -> bytes:
-    """Sorted bigrams in about 7 bytes each and 10 more for each first word."""
-    new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-    run = np.diff(np.append(new, len(v))).astype("<u4")
-    low, high = _small(c)
-    return np.array([len(new), len(v), len(high) // 8], "<u8").tobytes() + _six(v[new]) + run.tobytes() + _six(w) + low + high
 
+def _split(blob: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(blob, "<u8", 1)[0])
+    ends = np.cumsum([8 * (n + 1), *np.frombuffer(blob, "<u8", n, 8)]).astype(int)
+    return [np.frombuffer(blob, np.uint8, b - a, a) for a, b in zip(ends, ends[1:])]
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    raw = np.frombuffer(blob, np.uint8)
-    a, b, big = (int(x) for x in raw[:24].view("<u8"))
-    at = np.cumsum([24, 6 * a, 4 * a, 6 * b, b, 8 * big])
-    cut = [raw[x:y] for x, y in zip(at, at[1:])]
-    v = np.repeat(_from_six(cut[0]), np.frombuffer(cut[1].tobytes(), "<u4"))
-    c = cut[3].astype(np.int64)
-    c[c == 255] = np.frombuffer(cut[4].tobytes(), "<u8").astype(np.int64)
-    return v, _from_six(cut[2]), c
 
+def _numbers(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    out = low.astype(np.int64)
+    out[low == 255] = np.frombuffer(high.tobytes(), "<u8").astype(np.int64)
+    return out
+
+
+def _words(code: np.ndarray, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    at = np.frombuffer(code.tobytes(), "<u2")
+    out = codes[np.minimum(at, max(len(codes) - 1, 0))].astype(U64) if len(codes) else np.zeros(len(at), U64)
+    out[at == CODES] = _from_six(rest)
+    return out
 
-def _count(shards: int, hot: np.ndarray):
+
+def _merge(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair_key of v and w, u, v, w, count) of distinct trigrams, those of a pair together."""
+    pair = pair_key(v, w)
+    order = np.lexsort((u, pair))
+    pair, u, c = pair[order], u[order], c[order]
+    new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (u[1:] != u[:-1]))))
+    return pair[new], u[new], v[order][new], w[order][new], np.add.reduceat(c, new)
+
+
+def pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, pair: np.ndarray, codes: np.ndarray) -> bytes:
+    """Trigrams of _merge(): a pair's words once, then its first words."""
+    head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    run = np.diff(np.append(head, len(pair)))
+    return _join([*_coded(v[head], codes), *_coded(w[head], codes), *_small(run), *_coded(u, codes), *_small(c)])
+
+
+def unpack(blob: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    p = _split(blob)
+    run = _numbers(p[4], p[5])
+    return _words(p[6], p[7], codes), np.repeat(_words(p[0], p[1], codes), run), np.repeat(_words(p[2], p[3], codes), run), _numbers(p[8], p[9])
+
+
+@dataclass(frozen=True)
+class Plan:
+    """How n-grams are placed and coded; of a bounded sample."""
+
+    order: int
+    shards: int
+    hot: np.ndarray
+    spread: np.ndarray
+    codes: np.ndarray
+
+    def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return mid_shard(v, w, self.shards, self.hot, self.spread)
+
+    def is_hot(self, v: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(v), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, v), len(self.hot) - 1)] == v
+
+
+def plan(texts: list[str | None], shards: int, order: int = ORDER) -> Plan:
+    """Middle words of more than a shard's share of the sample are spread, over as many shards as they fill and one more."""
+    seen = [e[1] for e in events(pa.array(texts, pa.string()), order)]
+    v, c = np.unique(np.concatenate(seen or [_NONE]), return_counts=True)
+    share = c * shards / max(c.sum(), 1000)
+    often = share > 1
+    most = np.argsort(-c, kind="stable")[:CODES]
+    return Plan(order, shards, v[often], np.minimum(np.ceil(share[often]) + 1, shards).astype(np.int64), np.sort(v[most]))
+
+
+def _count(p: Plan):
     def flush(parts: list) -> Iterator[pa.RecordBatch]:
-        v, w = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
-        v, w, c = _merge(v, w, np.ones(len(v), np.int64))
-        s = shard_of(v, w, shards, hot)
+        u, v, w = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        pair, u, v, w, c = _merge(u, v, w, np.ones(len(v), np.int64))
+        s = p.shard(v, w)
         order = np.argsort(s, kind="stable")
-        v, w, c, s = v[order], w[order], c[order], s[order]
-        at = np.searchsorted(s, np.arange(shards + 1))
-        on = [k for k in range(shards) if at[k] < at[k + 1]]
+        at = np.searchsorted(s[order], np.arange(p.shards + 1))
+        on = [k for k in range(p.shards) if at[k] < at[k + 1]]
         for i in range(0, len(on), 64):
             some = on[i : i + 64]
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pack(v[at[k] : at[k + 1]], w[at[k] : at[k + 1]], c[at[k] : at[k + 1]]) for k in some], pa.binary())], ["shard", "blob"])
+            blobs = []
+            for k in some:
+                pick = order[at[k] : at[k + 1]]
+                blobs.append(pack(u[pick], v[pick], w[pick], c[pick], pair[pick], p.codes))
+            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
         for b in batches:
-            for v, w, _ in events(b.column(0)):
-                parts.append((v, w))
+            for u, v, w, _ in events(b.column(0), p.order):
+                parts.append((u, v, w))
                 size += len(v)
                 if size >= FLUSH:
                     yield from flush(parts)
@@ -155,6 +240,9 @@ def _count(shards: int, hot: np.ndarray):
     return run
 
 
+# arrays on disk
+
+
 def _save(folder: str, name: str, array: np.ndarray) -> None:
     """Whole or not at all, so that a repeated task does no harm."""
     part = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
@@ -163,81 +251,203 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, os.path.join(folder, name))
 
 
+def _slots(n: int) -> int:
+    return max(int(n // 8).bit_length(), 1)
+
+
+def _save_keys(folder: str, name: str, keys: np.ndarray) -> np.ndarray:
+    """A sorted array of hashes: 32 bits each below an index by their first bits. Returns the order."""
+    order = np.argsort(keys)
+    keys, bits = keys[order], _slots(len(keys))
+    top = (keys >> U64(64 - bits)).astype(np.int64)
+    _save(folder, f"{name}.index", np.searchsorted(top, np.arange((1 << bits) + 1)).astype("<u4"))
+    _save(folder, f"{name}.low", ((keys >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype("<u4"))
+    return order
+
+
+def _save_numbers(folder: str, name: str, x: np.ndarray) -> None:
+    low, high = _small(x)
+    _save(folder, f"{name}.byte", low)
+    _save(folder, f"{name}.at", np.flatnonzero(x >= 255).astype("<u8"))
+    _save(folder, f"{name}.big", high)
+
+
+def _save_counts(folder: str, name: str, keys: np.ndarray, c: np.ndarray) -> None:
+    """Those counted once as keys alone, others with their counts."""
+    one = c == 1
+    _save_keys(folder, f"{name}1", keys[one])
+    order = _save_keys(folder, f"{name}2", keys[~one])
+    _save_numbers(folder, f"{name}2", c[~one][order])
+
+
+def _save_stats(folder: str, name: str, keys: np.ndarray, stats: np.ndarray) -> None:
+    """Contexts that were there once as keys alone, others with their numbers."""
+    one = stats["total"] == 1
+    _save_keys(folder, f"{name}1", keys[one])
+    order = _save_keys(folder, f"{name}2", keys[~one])
+    for k in STAT_DT.names:
+        _save_numbers(folder, f"{name}2{k}", stats[k][~one][order].astype(np.int64))
+
+
+@lru_cache(65536)
+def _mapped(file: str, dtype: str) -> np.ndarray:
+    """A file of the model, mapped into memory; missing and empty ones are empty arrays."""
+    if not os.path.exists(file) or os.path.getsize(file) == 0:
+        return np.zeros(0, dtype)
+    return np.memmap(file, dtype, "r")
+
+
+def _search(file: str, keys: np.ndarray) -> np.ndarray:
+    """Where each key is in a file of _save_keys(); -1 where it isn't."""
+    low, index = _mapped(f"{file}.low", "<u4"), _mapped(f"{file}.index", "<u4")
+    out = np.full(len(keys), -1, np.int64)
+    if not len(low):
+        return out
+    bits = _slots(len(low))
+    top = (keys >> U64(64 - bits)).astype(np.int64)
+    want = ((keys >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype(np.int64)
+    a, b = index[top].astype(np.int64), index[top + 1].astype(np.int64)
+    end = b.copy()
+    open_ = np.flatnonzero(a < b)
+    while len(open_):
+        mid = (a[open_] + b[open_]) // 2
+        less = low[mid] < want[open_]
+        a[open_] = np.where(less, mid + 1, a[open_])
+        b[open_] = np.where(less, b[open_], mid)
+        open_ = open_[a[open_] < b[open_]]
+    hit = a < end
+    hit[hit] = low[a[hit]] == want[hit]
+    out[hit] = a[hit]
+    return out
+
+
+def _numbers_at(file: str, at: np.ndarray) -> np.ndarray:
+    x = _mapped(f"{file}.byte", "u1")[at].astype(np.int64)
+    big = np.flatnonzero(x == 255)
+    if len(big):
+        x[big] = _mapped(f"{file}.big", "<u8")[np.searchsorted(_mapped(f"{file}.at", "<u8"), at[big])].astype(np.int64)
+    return x
+
+
+def _look(file: str, keys: np.ndarray, numbers: list[str]) -> list[np.ndarray]:
+    """Numbers by key: 0 for unknown keys; of those kept alone, 1 for the first two numbers and 0 for others."""
+    out = [np.zeros(len(keys), np.int64) for _ in numbers]
+    at = _search(f"{file}2", keys)
+    known = at >= 0
+    for x, name in zip(out, numbers):
+        x[known] = _numbers_at(f"{file}2{name}", at[known])
+    alone = np.flatnonzero(~known)
+    alone = alone[_search(f"{file}1", keys[alone]) >= 0]
+    for x in out[:2]:
+        x[alone] = 1
+    return out
+
+
 def _by_count(c: np.ndarray) -> list[int]:
     return [int((c == k).sum()) for k in (1, 2, 3, 4)]
 
 
-def _bigrams(folder: str, shards: int):
-    """A shard of bigrams: writes them, and passes on what is known of their words."""
+def _sums(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct keys, their STAT_DT): sums of counts, and how many are 1, 2 and more."""
+    order = np.argsort(key, kind="stable")
+    key, c = key[order], c[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
+    out = np.zeros(len(new), STAT_DT)
+    if len(new):
+        for name, x in (("total", c), ("n1", c == 1), ("n2", c == 2), ("n3", c >= 3)):
+            out[name] = np.add.reduceat(x.astype(np.int64), new)
+    return key[new], out
+
+
+def _add(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of equal keys added up."""
+    order = np.argsort(keys, kind="stable")
+    keys, rows = keys[order], rows[order]
+    new = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    out = np.zeros(len(new), rows.dtype)
+    if len(new):
+        for name in rows.dtype.names:
+            out[name] = np.add.reduceat(rows[name], new)
+    return keys[new], out
+
+
+def _pack_rows(keys: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    out = [_six(keys) if rows.dtype == WORD_DT else keys.astype("<u8")]
+    for name in rows.dtype.names:
+        out += _small(rows[name].astype(np.int64))
+    return out
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_py()) for x in table.column("blob")]
-        v, w, c = _merge(*(np.concatenate([p[i] for p in parts]) for i in range(3)))
-        k = bigram_key(v, w)
-        order = np.argsort(k)
-        name = f"b{key[0].as_py()}"
-        _save(folder, f"{name}.key", k[order].astype("<u8"))
-        _save(folder, f"{name}.count", np.minimum(c[order], 2**32 - 1).astype("<u4"))
-        new = np.flatnonzero(np.concatenate(([True], v[1:] != v[:-1])))
-        sums = [np.add.reduceat(x.astype(np.int64), new) for x in (c, c == 1, c == 2, c >= 3)]
-        seconds, cont = np.unique(w, return_counts=True)
-        rows = np.concatenate((v[new], seconds))
-        val = np.zeros(len(rows), WORD_DT)
-        m = len(new)
-        val["total"][:m], val["n1"][:m], val["n2"][:m], val["n3"][:m], val["cont"][m:] = *sums, cont
-        s = word_shard(rows, shards)
-        order = np.argsort(s, kind="stable")
-        rows, val, s = rows[order], val[order], s[order]
-        at = np.searchsorted(s, np.arange(shards + 1))
-        on = [i for i in range(shards) if at[i] < at[i + 1]]
-        blobs = [_pack_words(rows[at[i] : at[i + 1]], val[at[i] : at[i + 1]]) for i in on]
-        stats = np.zeros((4, len(on)), np.int64)
-        stats[:, 0] = _by_count(c)
-        return pa.table([pa.array(on, pa.int32()), pa.array(blobs, pa.binary()), *map(pa.array, stats)], ["shard", "blob", "n1", "n2", "n3", "n4"])
 
-    return run
+def _unpack_rows(parts: list[np.ndarray], dtype: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    keys = _from_six(parts[0]) if dtype == WORD_DT else np.frombuffer(parts[0].tobytes(), "<u8").astype(U64)
+    rows = np.zeros(len(keys), dtype)
+    for i, name in enumerate(dtype.names):
+        rows[name] = _numbers(parts[1 + 2 * i], parts[2 + 2 * i])
+    return keys, rows
 
 
-def _pack_words(words: np.ndarray, val: np.ndarray) -> bytes:
-    """First words with their five numbers, then second words with one."""
-    first = val["total"] > 0
-    a, b = words[first], words[~first]
-    low, high = _small(val["cont"][~first])
-    return np.array([len(a), len(b), len(high) // 8], "<u8").tobytes() + _six(a) + val[first].tobytes() + _six(b) + low + high
+_COUNTS = ["t1", "t2", "t3", "t4", "b1", "b2", "b3", "b4"]
 
 
-def _unpack_words(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    raw = np.frombuffer(blob, np.uint8)
-    a, b, big = (int(x) for x in raw[:24].view("<u8"))
-    at = np.cumsum([24, 6 * a, WORD_DT.itemsize * a, 6 * b, b, 8 * big])
-    cut = [raw[x:y] for x, y in zip(at, at[1:])]
-    val = np.zeros(a + b, WORD_DT)
-    val[:a] = np.frombuffer(cut[1].tobytes(), WORD_DT)
-    c = cut[3].astype(np.int64)
-    c[c == 255] = np.frombuffer(cut[4].tobytes(), "<u8").astype(np.int64)
-    val["cont"][a:] = c
-    return np.concatenate((_from_six(cut[0]), _from_six(cut[2]))), val
+def _grams(folder: str, p: Plan):
+    """A shard of trigrams: writes them and what follows from them, and passes on what other shards add to."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        shard = key[0].as_py()
+        parts = [unpack(x.as_py(), p.codes) for x in table.column("blob")]
+        pair, u, v, w, c = _merge(*(np.concatenate([x[i] for x in parts]) for i in range(4)))
+        head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        bv, bw = v[head], w[head]
+        count = np.add.reduceat(c, head) if p.order == 2 else np.diff(np.append(head, len(pair)))
+        _save_counts(folder, f"b{shard}", pair[head], count)
+        hot_keys, hot_rows = _NONE, np.zeros(0, STAT_DT)
+        by3 = [0, 0, 0, 0]
+        if p.order > 2:
+            context = pair_key(u, v)
+            _save_counts(folder, f"t{shard}", triple_key(context, w), c)
+            by3 = _by_count(c)
+            hot = p.is_hot(v)
+            _save_stats(folder, f"c{shard}", *_sums(context[~hot], c[~hot]))
+            hot_keys, hot_rows = _sums(context[hot], c[hot])
+        words, sums = _sums(bv, count)
+        last, n = np.unique(bw, return_counts=True)
+        rows = np.zeros(len(words) + len(last), WORD_DT)
+        for name in STAT_DT.names:
+            rows[name][: len(words)] = sums[name]
+        rows["cont"][len(words) :] = n
+        words = np.concatenate((words, last))
+        to_word, to_hot = key_shard(words, p.shards), key_shard(hot_keys, p.shards)
+        on = np.unique(np.concatenate((to_word, to_hot)))
+        blobs = [_join(_pack_rows(words[to_word == k], rows[to_word == k]) + _pack_rows(hot_keys[to_hot == k], hot_rows[to_hot == k])) for k in on]
+        known = np.zeros((8, len(on)), np.int64)
+        known[:, 0] = by3 + _by_count(count)
+        return pa.table([pa.array(on, pa.int32()), pa.array(blobs, pa.binary()), *map(pa.array, known)], ["shard", "blob", *_COUNTS])
+
+    return run
 
 
-def _words(folder: str):
-    """A shard of words: writes the sums, and returns what the model needs of all shards."""
+_WORD_SUMS = ["w1", "w2", "w3", "w4", "w3up", "pairs", "known"]
+
+
+def _finish(folder: str):
+    """A shard of words and of frequent contexts: writes the sums, and returns what the model needs of all shards."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        parts = [_unpack_words(x.as_py()) for x in table.column("blob")]
-        words, val = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(words, kind="stable")
-        words, val = words[order], val[order]
-        new = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
-        out = np.zeros(len(new), WORD_DT)
-        for f in WORD_DT.names:
-            out[f] = np.add.reduceat(val[f].astype(np.int64), new)
-        name = f"w{key[0].as_py()}"
-        _save(folder, f"{name}.key", words[new].astype("<u8"))
-        _save(folder, f"{name}.val", out)
-        cont = out["cont"].astype(np.int64)
-        sums = [pa.array([int(pa.compute.sum(table.column(f"n{k}")).as_py())]) for k in (1, 2, 3, 4)]
+        parts = [_split(x.as_py()) for x in table.column("blob")]
+        k = 1 + 2 * len(WORD_DT.names)
+        both = []
+        for dtype, cut in ((WORD_DT, slice(None, k)), (STAT_DT, slice(k, None))):
+            got = [_unpack_rows(x[cut], dtype) for x in parts]
+            both.append(_add(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])))
+        (words, rows), (contexts, stats) = both
+        shard = key[0].as_py()
+        _save(folder, f"w{shard}.key", words.astype("<u8"))
+        _save(folder, f"w{shard}.val", rows)
+        _save_stats(folder, f"h{shard}", contexts, stats)
+        cont = rows["cont"].astype(np.int64)
+        sums = [int(pa.compute.sum(table.column(n)).as_py()) for n in _COUNTS]
         mine = [*_by_count(cont), int((cont >= 3).sum()), int(cont.sum()), int((cont > 0).sum())]
-        return pa.table([*sums, *(pa.array([x]) for x in mine)], ["n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "m3up", "pairs", "known"])
+        return pa.table([pa.array([x]) for x in sums + mine], _COUNTS + _WORD_SUMS)
 
     return run
 
@@ -255,9 +465,9 @@ class Model:
     """Where the arrays are, and the few numbers that belong to the whole corpus."""
 
     folder: str
-    shards: int
-    hot: tuple[int, ...]
-    d: tuple[float, float, float]
+    plan: Plan
+    d3: tuple[float, float, float]
+    d2: tuple[float, float, float]
     d1: tuple[float, float, float]
     g1: float  # weight of the uniform part
     pairs: int  # distinct bigrams
@@ -269,64 +479,35 @@ class Model:
         return self.g1 / (self.known + 1)
 
 
-def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for v, _, _ in events(b.column(0)):
-            words, c = np.unique(v, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(K.as_long(words)), pa.array(c)], ["v", "c"])
-
-
-def _hot_words(texts: DataFrame, shards: int) -> np.ndarray:
-    """First words of more than a quarter of a shard's share, in HOT_ROWS rows; there are at most 4 * shards."""
-    c = texts.limit(HOT_ROWS).mapInArrow(_firsts, "v bigint, c bigint").groupBy("v").agg(F.sum("c").alias("c"))
-    total = F.sum("c").over(Window.partitionBy())
-    rows = c.withColumn("all", total).filter((F.col("all") >= 1000) & (F.col("c") * 4 * shards > F.col("all"))).collect()
-    return np.sort(np.array([r.v for r in rows], np.int64).view(U64))
-
-
-def train(docs: DataFrame, text_col: str = "text", shards: int | None = None) -> Model:
+def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, order: int = ORDER) -> Model:
     """Count all of docs. ``shards`` is by default twice spark.sql.shuffle.partitions, which should follow the input's size."""
+    if order not in (2, 3):
+        raise ValueError("order must be 2 or 3")
     spark = docs.sparkSession
     shards = shards or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = shared_dir(spark)
     folder = local_path(path)
     os.makedirs(folder, exist_ok=True)
     texts = docs.select(col(text_col).cast("string").alias("text"))
-    hot = _hot_words(texts, shards)
-    counted = texts.mapInArrow(_count(shards, hot), "shard int, blob binary")
-    second = counted.groupBy("shard").applyInArrow(_bigrams(folder, shards), "shard int, blob binary, n1 bigint, n2 bigint, n3 bigint, n4 bigint")
-    names = ["n1", "n2", "n3", "n4", "m1", "m2", "m3", "m4", "m3up", "pairs", "known"]
-    last = second.groupBy("shard").applyInArrow(_words(folder), ", ".join(f"{n} bigint" for n in names))
+    # taken by the driver, which reads no more partitions than it needs
+    p = plan([r.text for r in texts.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).take(SAMPLE_ROWS)], shards, order)
+    counted = texts.mapInArrow(_count(p), "shard int, blob binary")
+    second = counted.groupBy("shard").applyInArrow(_grams(folder, p), "shard int, blob binary, " + ", ".join(f"{n} bigint" for n in _COUNTS))
+    names = _COUNTS + _WORD_SUMS
+    last = second.groupBy("shard").applyInArrow(_finish(folder), ", ".join(f"{n} bigint" for n in names))
     s = last.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
-    d, d1 = discounts(s.n1, s.n2, s.n3, s.n4), discounts(s.m1, s.m2, s.m3, s.m4)
-    g1 = (d1[0] * s.m1 + d1[1] * s.m2 + d1[2] * s.m3up) / s.pairs if s.pairs else 1.0
-    return Model(folder, shards, tuple(int(x) for x in hot), d, d1, g1, s.pairs, s.known, path)
-
-
-@lru_cache(4096)
-def _mapped(file: str, kind: str) -> np.ndarray:
-    """A file of the model, mapped into memory; missing and empty shards are empty arrays."""
-    dtype = WORD_DT if kind == "val" else np.dtype({"key": "<u8", "count": "<u4"}[kind])
-    if not os.path.exists(f"{file}.{kind}") or os.path.getsize(f"{file}.{kind}") == 0:
-        return np.zeros(0, dtype)
-    return np.memmap(f"{file}.{kind}", dtype, "r")
+    d3, d2, d1 = (discounts(*(s[f"{x}{k}"] for k in (1, 2, 3, 4))) for x in "tbw")
+    g1 = (d1[0] * s.w1 + d1[1] * s.w2 + d1[2] * s.w3up) / s.pairs if s.pairs else 1.0
+    return Model(folder, p, d3, d2, d1, g1, s.pairs, s.known, path)
 
 
-def _find(model: Model, letter: str, kind: str, keys: np.ndarray, shard: np.ndarray) -> np.ndarray:
-    """Values by key; zeros where there is none. Keys of a shard are looked up in ascending order."""
-    out = np.zeros(len(keys), WORD_DT if kind == "val" else "<u4")
-    order = np.argsort(keys)
-    order = order[np.argsort(shard[order].astype(np.int32), kind="stable")]
-    at = np.searchsorted(shard[order], np.arange(model.shards + 1))
-    for s in np.unique(shard):
-        pick = order[at[s] : at[s + 1]]
-        have = _mapped(os.path.join(model.folder, f"{letter}{s}"), "key")
-        if not len(have):
-            continue
-        pos = np.minimum(np.searchsorted(have, keys[pick]), len(have) - 1)
-        ok = have[pos] == keys[pick]
-        out[pick[ok]] = _mapped(os.path.join(model.folder, f"{letter}{s}"), kind)[pos[ok]]
-    return out
+def _groups(shard: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, which are there)."""
+    order = np.argsort(shard, kind="stable")
+    s = shard[order]
+    cut = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
+    for a, b in zip(cut, np.append(cut[1:], len(s))):
+        yield int(s[a]), order[a:b]
 
 
 def _less(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -334,17 +515,48 @@ def _less(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
-def probabilities(model: Model, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-    """p(w | v) of word hashes."""
-    words, at = np.unique(np.concatenate((v, w)), return_inverse=True)
-    val = _find(model, "w", "val", words, word_shard(words, model.shards))
-    p1 = _less(val["cont"].astype(np.int64), model.d1) / max(model.pairs, 1) + model.unknown
-    total = val["total"].astype(float)
-    d = model.d
-    back = np.divide(d[0] * val["n1"] + d[1] * val["n2"] + d[2] * val["n3"], total, out=np.ones(len(words)), where=total > 0)
-    a, b = at[: len(v)], at[len(v) :]
-    c = _find(model, "b", "count", bigram_key(v, w), shard_of(v, w, model.shards, np.array(model.hot, U64))).astype(np.int64)
-    return np.divide(_less(c, d), total[a], out=np.zeros(len(v)), where=total[a] > 0) + back[a] * p1[b]
+def _mixed(c: np.ndarray, stats: list[np.ndarray], d: tuple[float, float, float], below: np.ndarray) -> np.ndarray:
+    """The discounted share of c, and what is left to the order below; all of it where the context is unknown."""
+    total = stats[0].astype(float)
+    seen = total > 0
+    left = d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[3]
+    return np.where(seen, (_less(c, d) + left * below) / np.where(seen, total, 1.0), below)
+
+
+def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """p(w | u v) of word hashes; at order 2 u has no say."""
+    p, at = model.plan, lambda name: os.path.join(model.folder, name)
+    words, where = np.unique(np.concatenate((v, w)), return_inverse=True)
+    rows = np.zeros(len(words), WORD_DT)
+    for s, pick in _groups(key_shard(words, p.shards)):
+        have = _mapped(at(f"w{s}.key"), "<u8")
+        if len(have):
+            k = np.minimum(np.searchsorted(have, words[pick]), len(have) - 1)
+            ok = have[k] == words[pick]
+            rows[pick[ok]] = _mapped(at(f"w{s}.val"), WORD_DT)[k[ok]]
+    a, b = where[: len(v)], where[len(v) :]
+    p1 = _less(rows["cont"].astype(np.int64), model.d1)[b] / max(model.pairs, 1) + model.unknown
+    pair, shard = pair_key(v, w), p.shard(v, w)
+    n2 = np.zeros(len(v), np.int64)
+    context = pair_key(u, v)
+    triple = triple_key(context, w)
+    n3, stats = np.zeros(len(v), np.int64), [np.zeros(len(v), np.int64) for _ in STAT_DT.names]
+    hot = p.is_hot(v)
+    for s, pick in _groups(shard):
+        n2[pick] = _look(at(f"b{s}"), pair[pick], [""])[0]
+        if p.order > 2:
+            n3[pick] = _look(at(f"t{s}"), triple[pick], [""])[0]
+            cold = pick[~hot[pick]]
+            for x, y in zip(stats, _look(at(f"c{s}"), context[cold], list(STAT_DT.names))):
+                x[cold] = y
+    p2 = _mixed(n2, [rows[k].astype(np.int64)[a] for k in STAT_DT.names], model.d2, p1)
+    if p.order == 2:
+        return p2
+    some = np.flatnonzero(hot)
+    for s, pick in _groups(key_shard(context[some], p.shards)):
+        for x, y in zip(stats, _look(at(f"h{s}"), context[some[pick]], list(STAT_DT.names))):
+            x[some[pick]] = y
+    return _mixed(n3, stats, model.d3, p2)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,10 +565,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, total = np.zeros(b.num_rows, np.int64), np.zeros(b.num_rows)
-            for v, w, row in events(b.column(1)):
+            for u, v, w, row in events(b.column(1), model.plan.order):
                 n += np.bincount(row, minlength=b.num_rows)
                 for a in range(0, len(v), SCORE):
-                    total += np.bincount(row[a : a + SCORE], np.log(probabilities(model, v[a : a + SCORE], w[a : a + SCORE])), b.num_rows)
+                    part = slice(a, a + SCORE)
+                    total += np.bincount(row[part], np.log(probabilities(model, u[part], v[part], w[part])), b.num_rows)
             none = n == 0
             ppl = np.exp(-total / np.maximum(n, 1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.maximum(n - 1, 0)), pa.array(total, mask=none), pa.array(ppl, mask=none)], ["doc_id", "n_words", "log_prob", "perplexity"])

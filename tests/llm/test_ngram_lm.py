@@ -13,78 +13,113 @@ from tabsift.llm import ngram_lm as L
 class Brute:
     """The model by its formulas, over words as strings."""
 
-    def __init__(self, texts):
-        self.big = Counter()
+    def __init__(self, texts, order):
+        self.order = order
+        top = Counter()
         for t in texts:
             w = self.framed(t)
-            if w:
-                self.big.update(zip(w, w[1:]))
-        self.total, self.kinds, self.cont = Counter(), defaultdict(lambda: [0, 0, 0, 0]), Counter()
-        for (v, w), c in self.big.items():
-            self.total[v] += c
-            self.kinds[v][min(c, 3)] += 1
-            self.cont[w] += 1
-        by = lambda x: [sum(c == k for c in x.values()) for k in (1, 2, 3, 4)]
-        self.d, self.d1 = L.discounts(*by(self.big)), L.discounts(*by(self.cont))
-        self.g1 = sum(self.d1[min(x, 3) - 1] for x in self.cont.values()) / len(self.big)
-
-    @staticmethod
-    def framed(t):
+            top.update(tuple(w[i : i + order]) for i in range(len(w) - order + 1))
+        self.counts = {order: top}
+        for n in range(order - 1, 0, -1):  # distinct predecessors
+            self.counts[n] = Counter(g[1:] for g in self.counts[n + 1])
+        self.total, self.kinds = defaultdict(int), defaultdict(lambda: [0, 0, 0, 0])
+        self.d = {}
+        for n, grams in self.counts.items():
+            self.d[n] = L.discounts(*(sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)))
+            for g, c in grams.items():
+                self.total[g[:-1]] += c
+                self.kinds[g[:-1]][min(c, 3)] += 1
+
+    def framed(self, t):
         w = re.findall(r"[0-9a-z\u0080-\U0010ffff]+", (t or "").lower())
-        return ["<s>", *w, "</s>"] if w else []
-
-    def p1(self, w):
-        pairs, c = len(self.big), self.cont[w]
-        return (max(c - self.d1[min(c, 3) - 1], 0) / pairs if c else 0) + self.g1 / (len(self.cont) + 1)
-
-    def p(self, v, w):
-        if not self.total[v]:
-            return self.p1(w)
-        c = self.big[v, w]
-        g = sum(self.d[k - 1] * self.kinds[v][k] for k in (1, 2, 3)) / self.total[v]
-        return (max(c - self.d[min(c, 3) - 1], 0) / self.total[v] if c else 0) + g * self.p1(w)
+        return [*["<s>"] * (self.order - 1), *w, "</s>"] if w else []
+
+    def p(self, gram):
+        if not gram:
+            return 1 / (len(self.counts[1]) + 1)
+        n, below = len(gram), self.p(gram[1:])
+        context = gram[:-1]
+        if not self.total[context]:
+            return below
+        c, d = self.counts[n][gram], self.d[n]
+        g = sum(d[k - 1] * self.kinds[context][k] for k in (1, 2, 3)) / self.total[context]
+        return (max(c - d[min(c, 3) - 1], 0) / self.total[context] if c else 0) + g * below
 
     def log_prob(self, t):
         w = self.framed(t)
-        return sum(math.log(self.p(a, b)) for a, b in zip(w, w[1:])) if w else None
+        return sum(math.log(self.p(tuple(w[i : i + self.order]))) for i in range(len(w) - self.order + 1)) if w else None
 
 
-@pytest.mark.parametrize("shards", [1, 7])
-def test_against_formulas(spark, sf, shards):
+@pytest.mark.parametrize("order, shards", [(2, 1), (2, 7), (3, 1), (3, 7)])
+def test_against_formulas(spark, sf, order, shards):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     rows = docs.collect()
-    got = {r.doc_id: r for r in L.score(docs, L.train(docs, shards=shards)).collect()}
-    model = Brute([r.text for r in rows])
+    got = {r.doc_id: r for r in L.score(docs, L.train(docs, shards=shards, order=order)).collect()}
+    model = Brute([r.text for r in rows], order)
     for r in rows:
         assert got[r.doc_id].log_prob == pytest.approx(model.log_prob(r.text), rel=1e-9)
-        n = len(model.framed(r.text)) - 1
+        n = len(model.framed(r.text)) - order + 1
         assert got[r.doc_id].n_words == n - 1 and got[r.doc_id].perplexity == pytest.approx(math.exp(-model.log_prob(r.text) / n), rel=1e-9)
 
 
-def test_unseen_text_and_sum_to_one(spark):
+@pytest.mark.parametrize("order", [2, 3])
+def test_unseen_text_and_sum_to_one(spark, order):
     docs = spark.createDataFrame([(1, "a b a c a b"), (2, "b b c a"), (3, "c a b b a d e")], "doc_id long, text string")
-    model, brute = L.train(docs, shards=3), Brute([r.text for r in docs.collect()])
-    new = spark.createDataFrame([(9, "a zz b unknown words")], "doc_id long, text string")
-    assert L.score(new, model).first().log_prob == pytest.approx(brute.log_prob("a zz b unknown words"), rel=1e-9)
-    h = lambda w: L.END if w == "</s>" else K.tokens(*K.buffers(pa.array([w])))[0][0] >> np.uint64(16)
+    model, brute = L.train(docs, shards=3, order=order), Brute([r.text for r in docs.collect()], order)
+    new = spark.createDataFrame([(9, "a zz b unknown words a b")], "doc_id long, text string")
+    assert L.score(new, model).first().log_prob == pytest.approx(brute.log_prob("a zz b unknown words a b"), rel=1e-9)
+    h = lambda w: {"</s>": L.END, "<s>": L.START}.get(w) or K.tokens(*K.buffers(pa.array([w])))[0][0] >> np.uint64(16)
     words = np.array([h(w) for w in ("a", "b", "c", "d", "e", "</s>", "never")], np.uint64)
-    for v in ("a", "b", "e", "never"):
-        assert L.probabilities(model, np.full(len(words), h(v)), words).sum() == pytest.approx(1)
+    for u, v in (("a", "b"), ("b", "a"), ("<s>", "<s>"), ("never", "e"), ("e", "never"), ("d", "d")):
+        assert L.probabilities(model, np.full(len(words), h(u)), np.full(len(words), h(v)), words).sum() == pytest.approx(1)
 
 
-def test_hot_words_change_placement_only(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    hot = L._hot_words(docs.select("text"), 8)
-    assert len(hot)
-    v, w = np.full(100, hot[0]), np.arange(100).astype(np.uint64)
-    assert len(set(L.shard_of(v, w, 8, hot))) > 1 and len(set(L.shard_of(v, w, 8, hot[:0]))) == 1
+def test_a_third_word_helps_on_held_out_texts(spark):
+    """Words that follow from the two before them, of which either alone tells little."""
+    rng = np.random.default_rng(0)
+
+    def text():
+        w = list(rng.integers(0, 8, 2))
+        for _ in range(200):
+            w.append((3 * w[-1] + 5 * w[-2] + rng.integers(0, 2)) % 8)
+        return " ".join(f"w{x}" for x in w)
+
+    train = spark.createDataFrame([(i, text()) for i in range(40)], "doc_id long, text string")
+    held = spark.createDataFrame([(i, text()) for i in range(10)], "doc_id long, text string")
+    ppl = {k: np.mean([r.perplexity for r in L.score(held, L.train(train, shards=4, order=k)).collect()]) for k in (2, 3)}
+    assert ppl[3] < 3 < 6 < ppl[2]
+
+
+def test_frequent_words_change_placement_only(spark, sf):
+    texts = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    p = L.plan(texts, 50)
+    assert len(p.hot) and p.is_hot(p.hot).all() and not p.is_hot(np.array([5], np.uint64)).any()
+    w = np.arange(100).astype(np.uint64)
+    assert len(set(p.shard(np.full(100, p.hot[0]), w))) == p.spread[0] and len(set(p.shard(np.full(100, 7, np.uint64), w))) == 1
 
 
-def test_packing_of_counts():
+def test_packing():
     rng = np.random.default_rng(0)
-    v, w, c = L._merge(rng.integers(0, 50, 5000).astype(np.uint64), rng.integers(0, 1 << 47, 5000).astype(np.uint64) % 300, rng.integers(1, 400, 5000))
-    for a, b in zip(L.unpack(L.pack(v, w, c)), (v, w, c)):
-        assert (a == b).all()
+    u, v, w = (rng.integers(0, n, 5000).astype(np.uint64) << np.uint64(20) for n in (30, 50, 300))
+    pair, u, v, w, c = L._merge(u, v, w, rng.integers(1, 400, 5000))
+    assert len({*zip(u.tolist(), v.tolist(), w.tolist())}) == len(u)
+    for codes in (np.zeros(0, np.uint64), np.unique(v)[:20], np.unique(np.concatenate((u, v, w)))):
+        for a, b in zip(L.unpack(L.pack(u, v, w, c, pair, codes), codes), (u, v, w, c)):
+            assert (a == b).all()
+
+
+@pytest.mark.parametrize("n", [0, 1, 9, 5000])
+def test_arrays_on_disk(tmp_path, n):
+    rng = np.random.default_rng(n)
+    keys = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
+    c = np.where(rng.random(len(keys)) < 0.5, 1, rng.integers(1, 1 << 40, len(keys)))
+    L._save_counts(str(tmp_path), "x", keys, c)
+    assert (L._look(f"{tmp_path}/x", keys, [""])[0] == c).all() and not L._look(f"{tmp_path}/x", keys + np.uint64(1 << 40), [""])[0].any()
+    stats = np.zeros(len(keys), L.STAT_DT)
+    stats["total"], stats["n1"], stats["n2"], stats["n3"] = c, np.where(c == 1, 1, 300), np.where(c == 1, 0, 7), 0
+    L._save_stats(str(tmp_path), "y", keys, stats)
+    for name, got in zip(L.STAT_DT.names, L._look(f"{tmp_path}/y", keys, list(L.STAT_DT.names))):
+        assert (got == stats[name]).all()
 
 
 def test_edge_rows(spark):
@@ -98,3 +133,5 @@ def test_edge_rows(spark):
     empty = L.train(df.limit(0))
     assert L.score(df.limit(0), empty).count() == 0
     assert L.score(df.filter("doc_id = 3"), empty).first().log_prob == 0
+    with pytest.raises(ValueError):
+        L.train(df, order=4)
