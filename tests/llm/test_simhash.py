@@ -60,6 +60,21 @@ def test_routes_find_pairs_without_an_equal_byte():
     assert got == {frozenset((code[i].tobytes(), code[j].tobytes())) for i, j in itertools.combinations(range(len(code)), 2) if d[i, j] <= 20} and len(got) >= 60
 
 
+def test_chains_keep_all_pairs_within_the_distance_and_few_others():
+    rng = np.random.default_rng(3)
+    near = np.zeros((20_000, 128), np.uint8)
+    for x in near:  # differences of up to 20 bits, spread out or close together
+        at = rng.integers(0, 128) + rng.choice(int(rng.choice([24, 60, 128])), int(rng.integers(0, 21)), replace=False)
+        x[at % 128] = 1
+    far = rng.integers(0, 2, (20_000, 128)).astype(np.uint8)
+    kept = [simhash._ring(*(np.ascontiguousarray(np.packbits(x, axis=1)).view(np.uint64).T.copy())) for x in (near, far)]
+    assert kept[0].all() and kept[1].mean() < 0.05
+    # by the definition: a start from which chains of one, two and three segments stay within their budgets
+    for x, k in zip(far[:500], kept[1]):
+        b = x.reshape(8, 16).sum(1).tolist() * 2
+        assert k == any(b[i] <= 2 and sum(b[i : i + 2]) <= 5 and sum(b[i : i + 3]) <= 7 for i in range(8))
+
+
 def test_recall_of_edited_short_texts():
     rng, pairs = random.Random(5), 300
     words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(3000)]
