@@ -149,11 +149,21 @@ def m24_paper_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT pmcid, ncol, nrow, round(spread, 6) AS size_spread, round(log2(med), 6) AS log2_size, round(p, 6) AS p_continuous, CASE WHEN lo = hi THEN 'Equal' WHEN spread < 0.1 THEN 'Small' ELSE 'Large' END AS size_class FROM
-    (SELECT pmcid, count(DISTINCT "column") AS ncol, count(DISTINCT "row") AS nrow, (max(sample_size) - min(sample_size)) / median(sample_size) AS spread, median(sample_size) AS med, avg(CASE WHEN statistic = 'continuous' THEN 1.0 ELSE 0 END) AS p, min(sample_size) AS lo, max(sample_size) AS hi FROM ({bridge.MIXED_SQL}) GROUP BY 1)"""
+    f"""SELECT a.pmcid, round(coalesce(sd_size, 0), 5) AS sd_size, n_rows, n_stats, round(mean_dp, 5) AS mean_dp, round(sd_t, 5) AS sd_t, round(log_size, 5) AS log_size, 'percent' AS statistic, round(score, 5) AS score, round(ln(n_rows), 5) AS log_rows, round(ln(coalesce(sd_size, 0) + 1), 5) AS log_sd_size
+    FROM (SELECT pmcid, stddev_samp(sample_size) AS sd_size, count(DISTINCT "row") AS n_rows, count(DISTINCT statistic) AS n_stats, avg(dp1) AS mean_dp FROM ({bridge.ORDERS_SQL}) GROUP BY 1 HAVING count(DISTINCT "row") >= 3) a
+    LEFT JOIN (SELECT pmcid, coalesce(stddev_samp(t), 0) AS sd_t, ln(avg(size)) AS log_size FROM ({bridge.compare_sql(bridge.ORDERS_SQL)}) GROUP BY 1) b ON a.pmcid = b.pmcid LEFT JOIN ({_benford_sql("digit")}) c ON a.pmcid = c.pmcid"""
+)
+def m24_paper_features_of_counts(spark: SparkSession, d: str) -> DataFrame:
+    t = bridge.orders_table(spark, d)
+    return rounded(features.paper_features(t, comparisons.compare(t, p_values=False)), 5)
+
+
+@query(
+    f"""SELECT pmcid, ncol, nrow, round(spread, 6) AS size_spread, round(log2(med), 6) AS log2_size, round(p, 6) AS p_continuous, round(dp, 6) AS mean_dp, CASE WHEN lo = hi THEN 'Equal' WHEN spread < 0.1 THEN 'Small' ELSE 'Large' END AS size_class FROM
+    (SELECT pmcid, count(DISTINCT "column") AS ncol, count(DISTINCT "row") AS nrow, (max(sample_size) - min(sample_size)) / median(sample_size) AS spread, median(sample_size) AS med, avg(CASE WHEN statistic = 'continuous' THEN 1.0 ELSE 0 END) AS p, avg(dp1) AS dp, min(sample_size) AS lo, max(sample_size) AS hi FROM ({bridge.MIXED_SQL}) GROUP BY 1)"""
 )
 def m25_p14_table_features(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(features.table_features(bridge.mixed_table(spark, d)).drop("mean_dp"))
+    return rounded(features.table_features(bridge.mixed_table(spark, d)))
 
 
 @query("SELECT c_custkey, CASE WHEN count(*) OVER (PARTITION BY c_nationkey) < 60 THEN 'Other' ELSE CAST(c_nationkey AS VARCHAR) END AS nation FROM customer")

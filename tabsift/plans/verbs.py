@@ -112,7 +112,7 @@ def j3_flag_update(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT n_name, c_custkey FROM customer RIGHT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 9000")
 def j4_right(spark: SparkSession, d: str) -> DataFrame:
     c = read(spark, d, "customer").filter("c_acctbal > 9000")
-    return c.join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", "c_custkey")
+    return c.join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", "c_custkey")
 
 
 @query("SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_nationkey < 20 GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier WHERE s_nationkey > 3 GROUP BY 1) b ON a.k = b.k")
