@@ -22,7 +22,8 @@ Words are lower-cased runs of letters and digits, as 48-bit hashes; a text is
 framed by as many marks for its start as a context has words, and one for its
 end, which is predicted too. On disk a hash is cut to the bits that tell it from
 the others of its shard, 32 beyond an index of some 8 entries a slot; n-grams
-counted once, the most, have no count beside them.
+counted once, the most, have no count beside them, and contexts that were there
+once aren't listed at all: they are the bigrams that have no numbers as contexts.
 
 Frequent middle words are spread over some shards by the word that follows; their
 contexts' sums are put together in a second step. Which words these are comes from
@@ -55,7 +56,7 @@ from tabsift.llm.common import col, key_type, local_path, shared_dir
 
 U64 = np.uint64
 START, END = U64(1), U64(2)
-ORDER, FLUSH, SCORE = 3, 3_000_000, 1_000_000
+ORDER, FLUSH, SCORE = 3, 1_000_000, 500_000
 #: Bounds of the sample; a text counts with its first SAMPLE_CHARS characters there.
 SAMPLE_ROWS, SAMPLE_CHARS, CODES = 2000, 20_000, 65_535
 WORD_DT = np.dtype([("cont", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8"), ("total", "<u8")])
@@ -103,6 +104,10 @@ def pair_key(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return K.mix(w ^ K.mix(v, 53), 54)
 
 
+#: The context of a text's first word, which is no bigram.
+_FIRST = pair_key(np.array([START]), np.array([START]))[0]
+
+
 def triple_key(pair: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Of (u, v), by its pair_key, and w."""
     return K.mix(w ^ K.mix(pair, 56), 57)
@@ -159,25 +164,27 @@ def _words(code: np.ndarray, rest: np.ndarray, codes: np.ndarray) -> np.ndarray:
 
 
 def _merge(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(pair_key of v and w, u, v, w, count) of distinct trigrams, those of a pair together."""
+    """(pair_key of v and w, u, v, w, count) of distinct trigrams, those of a middle word and of a pair together."""
     pair = pair_key(v, w)
-    order = np.lexsort((u, pair))
+    order = np.lexsort((u, pair, v))
     pair, u, c = pair[order], u[order], c[order]
     new = np.flatnonzero(np.concatenate(([True], (pair[1:] != pair[:-1]) | (u[1:] != u[:-1]))))
     return pair[new], u[new], v[order][new], w[order][new], np.add.reduceat(c, new)
 
 
 def pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, pair: np.ndarray, codes: np.ndarray) -> bytes:
-    """Trigrams of _merge(): a pair's words once, then its first words."""
+    """Trigrams of _merge(): a middle word once, then its pairs' last words, then their first words."""
     head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-    run = np.diff(np.append(head, len(pair)))
-    return _join([*_coded(v[head], codes), *_coded(w[head], codes), *_small(run), *_coded(u, codes), *_small(c)])
+    run, vs = np.diff(np.append(head, len(pair))), v[head]
+    top = np.flatnonzero(np.concatenate(([True], vs[1:] != vs[:-1])))
+    return _join([*_coded(vs[top], codes), *_small(np.diff(np.append(top, len(vs)))), *_coded(w[head], codes), *_small(run), *_coded(u, codes), *_small(c)])
 
 
 def unpack(blob: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     p = _split(blob)
-    run = _numbers(p[4], p[5])
-    return _words(p[6], p[7], codes), np.repeat(_words(p[0], p[1], codes), run), np.repeat(_words(p[2], p[3], codes), run), _numbers(p[8], p[9])
+    run = _numbers(p[6], p[7])
+    v = np.repeat(_words(p[0], p[1], codes), _numbers(p[2], p[3]))
+    return _words(p[8], p[9], codes), np.repeat(v, run), np.repeat(_words(p[4], p[5], codes), run), _numbers(p[10], p[11])
 
 
 @dataclass(frozen=True)
@@ -281,12 +288,11 @@ def _save_counts(folder: str, name: str, keys: np.ndarray, c: np.ndarray) -> Non
 
 
 def _save_stats(folder: str, name: str, keys: np.ndarray, stats: np.ndarray) -> None:
-    """Contexts that were there once as keys alone, others with their numbers."""
-    one = stats["total"] == 1
-    _save_keys(folder, f"{name}1", keys[one])
-    order = _save_keys(folder, f"{name}2", keys[~one])
+    """Contexts with their numbers, but for those that were there once: these are the bigrams that aren't listed here."""
+    keep = (stats["total"] > 1) | (keys == _FIRST)
+    order = _save_keys(folder, f"{name}2", keys[keep])
     for k in STAT_DT.names:
-        _save_numbers(folder, f"{name}2{k}", stats[k][~one][order].astype(np.int64))
+        _save_numbers(folder, f"{name}2{k}", stats[k][keep][order].astype(np.int64))
 
 
 @lru_cache(65536)
@@ -329,17 +335,24 @@ def _numbers_at(file: str, at: np.ndarray) -> np.ndarray:
     return x
 
 
-def _look(file: str, keys: np.ndarray, numbers: list[str]) -> list[np.ndarray]:
-    """Numbers by key: 0 for unknown keys; of those kept alone, 1 for the first two numbers and 0 for others."""
-    out = [np.zeros(len(keys), np.int64) for _ in numbers]
+def _count_of(file: str, keys: np.ndarray) -> np.ndarray:
+    """Counts by key of _save_counts(); 0 for unknown keys."""
+    out = np.zeros(len(keys), np.int64)
     at = _search(f"{file}2", keys)
     known = at >= 0
-    for x, name in zip(out, numbers):
-        x[known] = _numbers_at(f"{file}2{name}", at[known])
+    out[known] = _numbers_at(f"{file}2", at[known])
     alone = np.flatnonzero(~known)
-    alone = alone[_search(f"{file}1", keys[alone]) >= 0]
-    for x in out[:2]:
-        x[alone] = 1
+    out[alone[_search(f"{file}1", keys[alone]) >= 0]] = 1
+    return out
+
+
+def _stats_of(file: str, keys: np.ndarray) -> np.ndarray:
+    """Numbers by key of _save_stats(); 0 for those that it doesn't list."""
+    out = np.zeros(len(keys), STAT_DT)
+    at = _search(f"{file}2", keys)
+    known = np.flatnonzero(at >= 0)
+    for name in STAT_DT.names:
+        out[name][known] = _numbers_at(f"{file}2{name}", at[known])
     return out
 
 
@@ -515,11 +528,11 @@ def _less(c: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.maximum(c - np.array([0.0, *d])[np.minimum(c, 3)], 0.0)
 
 
-def _mixed(c: np.ndarray, stats: list[np.ndarray], d: tuple[float, float, float], below: np.ndarray) -> np.ndarray:
+def _mixed(c: np.ndarray, stats: np.ndarray, d: tuple[float, float, float], below: np.ndarray) -> np.ndarray:
     """The discounted share of c, and what is left to the order below; all of it where the context is unknown."""
-    total = stats[0].astype(float)
+    total = stats["total"].astype(float)
     seen = total > 0
-    left = d[0] * stats[1] + d[1] * stats[2] + d[2] * stats[3]
+    left = d[0] * stats["n1"] + d[1] * stats["n2"] + d[2] * stats["n3"]
     return np.where(seen, (_less(c, d) + left * below) / np.where(seen, total, 1.0), below)
 
 
@@ -537,25 +550,25 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     a, b = where[: len(v)], where[len(v) :]
     p1 = _less(rows["cont"].astype(np.int64), model.d1)[b] / max(model.pairs, 1) + model.unknown
     pair, shard = pair_key(v, w), p.shard(v, w)
-    n2 = np.zeros(len(v), np.int64)
-    context = pair_key(u, v)
+    n2, n3 = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
+    context, stats, hot = pair_key(u, v), np.zeros(len(v), STAT_DT), p.is_hot(v)
     triple = triple_key(context, w)
-    n3, stats = np.zeros(len(v), np.int64), [np.zeros(len(v), np.int64) for _ in STAT_DT.names]
-    hot = p.is_hot(v)
     for s, pick in _groups(shard):
-        n2[pick] = _look(at(f"b{s}"), pair[pick], [""])[0]
+        n2[pick] = _count_of(at(f"b{s}"), pair[pick])
         if p.order > 2:
-            n3[pick] = _look(at(f"t{s}"), triple[pick], [""])[0]
+            n3[pick] = _count_of(at(f"t{s}"), triple[pick])
             cold = pick[~hot[pick]]
-            for x, y in zip(stats, _look(at(f"c{s}"), context[cold], list(STAT_DT.names))):
-                x[cold] = y
-    p2 = _mixed(n2, [rows[k].astype(np.int64)[a] for k in STAT_DT.names], model.d2, p1)
+            stats[cold] = _stats_of(at(f"c{s}"), context[cold])
+    p2 = _mixed(n2, rows[a], model.d2, p1)
     if p.order == 2:
         return p2
     some = np.flatnonzero(hot)
     for s, pick in _groups(key_shard(context[some], p.shards)):
-        for x, y in zip(stats, _look(at(f"h{s}"), context[some[pick]], list(STAT_DT.names))):
-            x[some[pick]] = y
+        stats[some[pick]] = _stats_of(at(f"h{s}"), context[some[pick]])
+    some = np.flatnonzero(stats["total"] == 0)
+    for s, pick in _groups(p.shard(u[some], v[some])):
+        once = some[pick[_count_of(at(f"b{s}"), context[some[pick]]) > 0]]
+        stats["total"][once] = stats["n1"][once] = 1
     return _mixed(n3, stats, model.d3, p2)
 
 
