@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,18 @@ def test_table_of_a_paper():
         (2, 2, "percent", 24.0, 57.1, None, 42.0), (3, 1, "median", 71.0, 60.0, 82.0, 40.0), (3, 2, "median", 70.0, 61.0, 80.0, 42.0),
     ]
     assert interpret("<table-wrap><inline-graphic/></table-wrap>")["reason"] == "Table is graphic"
+
+
+def test_posterior_against_draws_of_the_model(spark):
+    """The integral over beta, by weighting draws from its prior with the whole likelihood."""
+    rng = np.random.default_rng(1)
+    studies = {"null": rng.standard_t(59, 12), "precise": rng.standard_t(59, 12) * 0.2, "variable": rng.standard_t(59, 12) * 3}
+    df = spark.createDataFrame([(k, float(t), 60.0) for k, ts in studies.items() for t in ts], "pmcid string, t double, size double")
+    got = {r.pmcid: r for r in posterior.posterior(df).collect()}
+    beta = rng.normal(0, math.sqrt(10), 400_000)
+    density = lambda x: math.lgamma(30) - math.lgamma(29.5) - 0.5 * math.log(59 * math.pi) - 30 * np.log1p(x * x / 59)
+    for k, ts in studies.items():
+        w = np.exp(sum(density(t * np.exp(beta / 2)) + beta / 2 - density(t) for t in ts))
+        assert got[k].p_flag == pytest.approx(w.mean() / (1 + w.mean()), abs=0.01)
+        assert got[k].slab_mean == pytest.approx((w * beta).mean() / w.mean(), abs=0.05)
+    assert got["precise"].p_flag > 0.95 and got["variable"].p_flag > 0.95 and got["null"].p_flag < 0.5
