@@ -1,12 +1,12 @@
 """Line deduplication: winnowing over line hashes.
 
 A line here is a logical one: wherever line feeds stand, a line ends with a word
-that ends in a full stop, an exclamation or question mark, or whose hash is 0
-modulo MARK. A passage that was reflowed or set into running text so has the same
+that ends in a full stop, an exclamation or question mark, whose hash is 0 modulo
+MARK, or that was said twice. A passage that was reflowed or set into running text so has the same
 lines as before. A line's hash covers the LEAD words from its start on.
 
 Winnowing slides a window of MIN_WORDS words over these hashes and selects the
-least of the lines that begin in it, after its first word and LEAD words or more
+least of the lines that begin in it, after its second word and LEAD words or more
 before its end. A selected line is a fingerprint, emitted once with its position, whatever the
 number of windows that select it. Equal windows select equal fingerprints, so
 every repeated run of MIN_WORDS words is found: the positions that share a
@@ -43,13 +43,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabsift.llm import kernels as K
 from tabsift.llm.common import col, free_name, key_type, stash
 
-MIN_WORDS, LEAD, MARK = 50, 12, 16
+MIN_WORDS, LEAD, MARK = 50, 12, 12
 _BASE = K.U64(0x9E3779B97F4A7C15)
 _INVERSE = K.U64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _END = np.isin(np.arange(256), [ord(c) for c in ".!?"])
@@ -65,9 +65,6 @@ class Words:
     row: np.ndarray
     hash: np.ndarray
     begins: np.ndarray  # whether the word before ends a line
-    feed: np.ndarray  # whether this is the first word after a line feed, or of a text
-    char: np.ndarray  # where a word begins in its text, in code points
-    chars: np.ndarray  # of each text
     sums: np.ndarray
     down: np.ndarray
 
@@ -75,14 +72,10 @@ class Words:
         """Hash of the words from a to b, which doesn't depend on where they stand."""
         return K.mix((self.sums[b] - self.sums[a]) * self.down[a] + (b - a).astype(K.U64), seed)
 
-    def next_char(self, b: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """Where the word after the last one before b begins, or the text's length."""
-        return np.where(b < self.offs[row + 1], np.append(self.char, 0)[b], self.chars[row])
-
 
 def words_of(texts: pa.Array) -> Words:
     data, at = K.buffers(texts)
-    h, row, place = K.tokens_at(data, at, K.NOT_SPACE)
+    h, row = K.tokens(data, at, K.NOT_SPACE)
     n = len(at) - 1
     offs = np.searchsorted(row, np.arange(n + 1))
     on = K.NOT_SPACE[data]
@@ -93,16 +86,14 @@ def words_of(texts: pa.Array) -> Words:
     end = np.flatnonzero(last)
     new = np.ones(len(h), bool)
     new[1:] = row[1:] != row[:-1]
-    feeds = np.cumsum(data == 10)
-    feed = new.copy()
-    feed[1:] |= feeds[place[1:]] > feeds[end[:-1]]
     begins = ~new
-    begins[1:] &= _END[data[end[:-1]]] | (K.mix(h[:-1], 43) % K.U64(MARK) == 0)
-    points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    said_twice = np.zeros(len(h), bool)
+    said_twice[2:] = (h[1:-1] == h[:-2]) & (h[2:] != h[1:-1])
+    begins[1:] &= _END[data[end[:-1]]] | (K.mix(h[:-1], 43) % K.U64(MARK) == 0) | said_twice[1:]
     power = np.cumprod(np.concatenate(([K.U64(1)], np.full(len(h), _BASE))))
     down = np.cumprod(np.concatenate(([K.U64(1)], np.full(len(h), _INVERSE))))
     sums = np.concatenate(([K.U64(0)], np.cumsum(K.mix(h, 44) * power[:-1])))
-    return Words(offs, row, h, begins, feed, points[place] - points[at[row]], points[at[1:]] - points[at[:-1]], sums, down)
+    return Words(offs, row, h, begins, sums, down)
 
 
 def _least(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -132,18 +123,25 @@ def fingerprints(w: Words, min_words: int = MIN_WORDS, lead: int = LEAD) -> tupl
     line = place[w.begins & (place + lead <= w.offs[w.row + 1])]
     value = w.run(line, line + lead, 45)
     before = np.concatenate(([0], np.cumsum(np.bincount(line, minlength=n))))
-    a, b = before[start + 1], before[start + min_words - lead + 1]  # not its first word: what is before that isn't in the window
+    # whether a line begins follows from the two words before, which have to be in the window
+    a, b = before[np.minimum(start + 2, n)], before[start + min_words - lead + 1]
     some = b > a
     rest, start, at = start[~some], start[some], _least(value, a[some], b[some])
     new = np.ones(len(start), bool)
     new[1:] = (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)
     lo, hi, at = start[new], start[np.append(new[1:], True)] if len(start) else start, at[new]
     own = w.run(rest, rest + min_words, 46)
+    # equal windows one after the other, of one word only: the first min_words of them overlap, and so do no others with the first
+    new = np.ones(len(rest), bool)
+    new[1:] = (own[1:] != own[:-1]) | (rest[1:] != rest[:-1] + 1)
+    nth = np.arange(len(rest)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    new |= nth == min_words
+    first, last, own = rest[new], rest[np.append(new[1:], True)] if len(rest) else rest, own[new]
     return (
         np.concatenate((value[at], own)),
-        np.concatenate((w.run(lo, hi + min_words, 46), own)),
-        np.concatenate((lo, rest)),
-        np.concatenate((hi, rest)),
+        np.concatenate((w.run(lo, hi + min_words, 47), own)),
+        np.concatenate((lo, first)),
+        np.concatenate((hi, last)),
     )
 
 
@@ -156,18 +154,12 @@ def _slices(b: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         first = last
 
 
-def _emit(b: pa.RecordBatch, w: Words, keys: dict[str, np.ndarray], lo: np.ndarray, hi: np.ndarray, min_words: int) -> pa.RecordBatch:
-    """Rows of windows from lo to hi, with their place in the text."""
-    row = w.row[lo]
-    pick, first = pa.array(row), w.offs[row]
+def _emit(b: pa.RecordBatch, w: Words, keys: dict[str, np.ndarray], **places: np.ndarray) -> pa.RecordBatch:
+    """Rows of windows, with where they are in their text."""
+    row = w.row[places["lo"]]
+    pick = pa.array(row)
     out = {"doc_id": b.column(0).take(pick), "th": b.column(1).take(pick)} | {k: pa.array(K.as_long(x)) for k, x in keys.items()}
-    for name, x in (("lo", lo - first), ("hi", hi - first), ("c0", w.char[lo]), ("c1", w.next_char(hi + min_words, row))):
-        out[name] = pa.array(x.astype(np.int32))
-    out["feed"] = pa.array(w.feed[lo])
-    return pa.RecordBatch.from_pydict(out)
-
-
-_PLACE = "lo int, hi int, c0 int, c1 int, feed boolean"
+    return pa.RecordBatch.from_pydict(out | {k: pa.array((x - w.offs[row]).astype(np.int32)) for k, x in places.items()})
 
 
 def _fingerprinted(min_words: int):
@@ -177,7 +169,7 @@ def _fingerprinted(min_words: int):
                 w = words_of(b.column(2))
                 h, nk, lo, hi = fingerprints(w, min_words, min(LEAD, min_words))
                 if len(h):
-                    yield _emit(b, w, {"h": h, "nk": nk}, lo, hi, min_words)
+                    yield _emit(b, w, {"h": h, "nk": nk}, lo=lo, hi=hi)
 
     return run
 
@@ -198,7 +190,7 @@ def _windows(min_words: int):
                 np.add.at(mark, hi + 1, -1)
                 start = np.flatnonzero(np.cumsum(mark)[:-1])
                 if len(start):
-                    yield _emit(b, w, {"key": w.run(start, start + min_words, 46)}, start, start, min_words)
+                    yield _emit(b, w, {"key": w.run(start, start + min_words, 46)}, lo=start)
 
     return run
 
@@ -208,73 +200,93 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         runs = b.column(2)
         row = np.repeat(np.arange(b.num_rows), np.diff(runs.offsets.to_numpy()))
-        flat = runs.flatten()
-        lo, stop, c0, c1, feed = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+        lo, stop = (runs.flatten().field(k).to_numpy() for k in (0, 1))
         order = np.lexsort((lo, row))
-        row, lo, stop, c0, c1, feed = (x[order] for x in (row, lo, stop, c0, c1, feed))
+        row, lo, stop = row[order], lo[order], stop[order]
         reach = np.maximum.accumulate(stop + (row << 32))  # a later row is always beyond
         new = np.ones(len(row), bool)
         new[1:] = lo[1:] + (row[1:] << 32) > reach[:-1]
         head = np.flatnonzero(new)
         tail = np.append(head[1:], len(row)) - 1
-        end = np.maximum.reduceat(c1, head) if len(head) else c1
-        fields = [lo[head], (reach[tail] - (row[tail] << 32)).astype(np.int32), c0[head], end, feed[head]]
-        out = pa.StructArray.from_arrays([pa.array(x) for x in fields], ["lo", "stop", "c0", "c1", "feed"])
+        out = pa.StructArray.from_arrays([pa.array(lo[head]), pa.array((reach[tail] - (row[tail] << 32)).astype(np.int32))], ["lo", "stop"])
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), K.list_array(out, np.searchsorted(row[head], np.arange(b.num_rows + 1)))], ["doc_id", "th", "runs"])
 
 
+def _keyed(docs: DataFrame, text_col: str) -> tuple[DataFrame, str]:
+    """docs with its texts' hashes, and their column's name; one definition, so that what is exchanged of it for two joins can be exchanged once."""
+    th = free_name(docs, "__th")
+    return docs.withColumn(th, F.xxhash64(col(text_col).cast("string"))), th
+
+
 def _same() -> Column:
     return F.col("doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("th") == F.col("f.th"))
 
 
 def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, th, runs): what goes, for documents that lose any word; th is the text's hash.
-
-    A run is (lo, stop) in words, counted from 0, and (c0, c1) in characters: from
-    its first word to the word after it, or to the text's end. ``feed``: it begins a line.
-    """
+    """(doc_id, th, runs): what goes, for documents that lose any word; th is the text's hash, a run is (lo, stop) in words from 0."""
     t = col(text_col).cast("string")
-    picked = docs.filter(t.isNotNull()).select(col(id_col).alias("doc_id"), F.xxhash64(t).alias("th"), t.alias("text"))
+    keyed, th = _keyed(docs, text_col)
+    named = [col(id_col).alias("doc_id"), col(th).alias("th"), t.alias("text")]
+    picked = keyed.filter(t.isNotNull()).select(*named)
     id_type = key_type(picked, "doc_id")
-    found = stash(picked.mapInArrow(_fingerprinted(min_words), f"doc_id {id_type}, th bigint, h bigint, nk bigint, {_PLACE}"))
-    joined = found.join(found.groupBy("h").count().filter("count > 1").select("h"), "h", "left_semi")
-    kinds = joined.groupBy("h", "nk").agg(F.min(F.struct("doc_id", "th", "lo")).alias("f"))
-    mixed = kinds.groupBy("h").count().filter("count > 1").select("h")
-    held = stash(joined.join(kinds, ["h", "nk"]).withColumn("later", ~_same() | (F.col("lo") >= F.col("f.lo") + min_words)).select("doc_id", "th", "h", "lo", "hi", "c0", "c1", "feed", "later"))
-    place = F.struct("lo", (F.col("hi") + min_words).alias("stop"), "c0", "c1", "feed").alias("run")
-    gone = held.filter("later").select("doc_id", "th", place)
-    apart = held.filter("NOT later").join(mixed, "h", "left_semi").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
-    apart = apart.withColumnsRenamed({"doc_id": "a_id", "th": "a_th"})
-    opened = picked.join(apart, F.col("doc_id").eqNullSafe(F.col("a_id")) & (F.col("th") == F.col("a_th"))).select("doc_id", "th", "text", "at")
-    windows = stash(opened.mapInArrow(_windows(min_words), f"doc_id {id_type}, th bigint, key bigint, {_PLACE}"))
-    first = windows.groupBy("key").agg(F.min(F.struct("doc_id", "th", "lo")).alias("f"), F.count("*").alias("n")).filter("n > 1").select("key", "f")
-    parts = windows.join(first, "key").filter(~_same() | (F.col("lo") >= F.col("f.lo") + min_words)).select("doc_id", "th", place)
+    found = picked.mapInArrow(_fingerprinted(min_words), f"doc_id {id_type}, th bigint, h bigint, nk bigint, lo int, hi int")
+    # one exchange by fingerprint serves all three; the second window's rows are clustered by the first already
+    shared, kind = Window.partitionBy("h"), Window.partitionBy("h", "nk")
+    joined = found.withColumns({"n": F.count("*").over(shared), "mixed": F.min("nk").over(shared) < F.max("nk").over(shared)}).filter("n > 1")
+    joined = joined.withColumn("f", F.min(F.struct("doc_id", "th", "lo")).over(kind))
+    later = ~_same() | (F.col("lo") >= F.col("f.lo") + min_words)
+    held = stash(joined.select("doc_id", "th", "lo", "hi", "mixed", later.alias("later")).filter("later OR mixed"))
+    gone = held.filter("later").select("doc_id", "th", F.struct("lo", (F.col("hi") + min_words).alias("stop")).alias("run"))
+    apart = held.filter("NOT later").groupBy("doc_id", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("at"))
+    a_id, a_th, at = (free_name(keyed, n) for n in ("__a_id", "__a_th", "__at"))
+    apart = apart.withColumnsRenamed({"doc_id": a_id, "th": a_th, "at": at})
+    opened = keyed.join(apart, col(id_col).eqNullSafe(col(a_id)) & (col(th) == col(a_th))).select(*named, col(at).alias("at"))
+    windows = opened.mapInArrow(_windows(min_words), f"doc_id {id_type}, th bigint, key bigint, lo int")
+    # each kind of neighbourhood is there once, so that few rows share a key
+    first = windows.withColumn("f", F.min(F.struct("doc_id", "th", "lo")).over(Window.partitionBy("key")))
+    parts = first.filter(later).select("doc_id", "th", F.struct("lo", (F.col("lo") + min_words).alias("stop")).alias("run"))
     runs = gone.unionAll(parts).groupBy("doc_id", "th").agg(F.collect_list("run").alias("runs"))
-    return runs.mapInArrow(_merged, f"doc_id {id_type}, th bigint, runs array<struct<lo:int,stop:int,c0:int,c1:int,feed:boolean>>")
+    return runs.mapInArrow(_merged, f"doc_id {id_type}, th bigint, runs array<struct<lo:int,stop:int>>")
+
+
+_SPACE = r" \t\n\x0B\f\r"
 
 
 def _without(t: Column, runs: Column) -> Column:
-    """A text without its runs."""
+    """A text without its runs, from its words and the white space after each."""
 
-    def part(r: Column, i: Column) -> Column:
-        begin = F.when(i > 0, F.get(runs, i - 1)["c1"]).otherwise(F.lit(0))
-        inside = F.substring(t, r["c0"] + 1, r["c1"] - r["c0"])
-        feed = F.when(~r["feed"] & F.contains(inside, F.lit("\n")) & (r["c1"] < F.length(t)), F.lit("\n")).otherwise(F.lit(""))
-        return F.concat(F.substring(t, begin + 1, r["c0"] - begin), feed)
+    def build(words: Column) -> Column:
+        def part(r: Column, i: Column) -> Column:
+            begin = F.when(i > 0, F.get(runs, i - 1)["stop"]).otherwise(F.lit(0))
+            starts_line = (r["lo"] == 0) | F.contains(F.get(words, r["lo"] - 1), F.lit("\n"))
+            parts_lines = F.exists(F.slice(words, r["lo"] + 1, r["stop"] - r["lo"]), lambda x: F.contains(x, F.lit("\n")))
+            feed = F.when(~starts_line & parts_lines & (r["stop"] < F.size(words)), F.lit("\n")).otherwise(F.lit(""))
+            return F.concat(F.array_join(F.slice(words, begin + 1, r["lo"] - begin), ""), feed)
 
-    end = F.element_at(runs, -1)["c1"]
-    left = F.concat(F.array_join(F.transform(runs, part), ""), F.substring(t, end + 1, F.length(t)))
-    return F.when(end < F.length(t), left).otherwise(F.regexp_replace(left, r"[ \t\n\x0B\f\r]+$", ""))
+        end = F.element_at(runs, -1)["stop"]
+        left = F.concat(F.regexp_extract(t, f"^[{_SPACE}]*", 0), F.array_join(F.transform(runs, part), ""), F.array_join(F.slice(words, end + 1, F.size(words)), ""))
+        return F.when(end < F.size(words), left).otherwise(F.regexp_replace(left, f"[{_SPACE}]+$", ""))
 
+    words = F.regexp_extract_all(t, F.lit(f"[^{_SPACE}]+[{_SPACE}]*"), F.lit(0))
+    return F.element_at(F.transform(F.array(words), build), 1)
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed: str | None = None) -> DataFrame:
-    """The rows of docs, all columns, without later repeated runs; ``removed`` names a column for the runs that went, as (lo, stop) in words."""
-    th, left, gone_id, gone_th, lost = (free_name(docs, n) for n in ("__th", "__left", "__gone_id", "__gone_th", "__gone"))
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, removed: str | None = None, least_left: float = 0.0) -> DataFrame:
+    """The rows of docs, all columns, without later repeated runs; ``removed`` names a column for the runs that went, as (lo, stop) in words.
+
+    A document of whose words a smaller share than ``least_left`` is left goes as a whole.
+    """
+    keyed, th = _keyed(docs, text_col)
+    left, gone_id, gone_th, lost = (free_name(keyed, n) for n in ("__left", "__gone_id", "__gone_th", "__gone"))
     gone = repeated_runs(docs, id_col, text_col, min_words).select(F.col("doc_id").alias(gone_id), F.col("th").alias(gone_th), F.col("runs").alias(lost))
     t = col(text_col).cast("string")
-    joined = docs.withColumn(th, F.xxhash64(t)).join(gone, col(id_col).eqNullSafe(col(gone_id)) & (col(th) == col(gone_th)), "left")
+    joined = keyed.join(gone, col(id_col).eqNullSafe(col(gone_id)) & (col(th) == col(gone_th)), "left")
     changed = col(lost).isNotNull()
-    joined = joined.withColumn(left, F.when(changed, _without(t, col(lost)))).filter(~changed | col(left).rlike(r"[^ \t\n\x0B\f\r]"))
+    if least_left > 0:
+        n = F.aggregate(col(lost), F.lit(0), lambda k, r: k + r["stop"] - r["lo"])
+        joined = joined.filter(~changed | (n <= (1 - least_left) * F.regexp_count(t, F.lit(f"[^{_SPACE}]+"))))
+    # a generated value is computed once, and not again for the filter
+    joined = joined.withColumn(left, F.explode(F.array(F.when(changed, _without(t, col(lost)))))).filter(~changed | col(left).rlike(f"[^{_SPACE}]"))
     text = F.when(changed, col(left)).otherwise(t)
     out = []
     for c in docs.columns:
@@ -285,6 +297,5 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         else:
             out.append(col(c))
     if removed:
-        pairs = F.transform(col(lost), lambda r: F.struct(r["lo"].alias("lo"), r["stop"].alias("stop")))
-        out.append(F.coalesce(pairs, F.array().cast("array<struct<lo:int,stop:int>>")).alias(removed))
+        out.append(F.coalesce(col(lost), F.array().cast("array<struct<lo:int,stop:int>>")).alias(removed))
     return joined.select(*out)
