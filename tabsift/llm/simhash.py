@@ -18,8 +18,9 @@ Whatever meets so, about 0.011 of all pairs of codes, is pruned by the pigeonrin
 on the ring of 8 segments of 16 bits, a pair within 20 bits has a segment from which
 on every chain of l consecutive segments differs in at most l * 20 / 8 bits, so that
 chains of one, two and three segments must stay within 2, 5 and 7 bits from a common
-start. Few unrelated pairs do, and only what does gets the full Hamming check. (Chains can't do the routing too at this distance: they start at segments
-that differ in up to 2 bits, which 0.017 of all pairs have.)
+start. Few unrelated pairs do, and only what does gets the full Hamming check.
+(Chains can't do the routing too at this distance: they start at segments that
+differ in up to 2 bits, which 0.017 of all pairs have.)
 
 Groups are the connected components of the pairs. A bucket emits a spanning
 star per component, never its pairs, so that copies by the thousand stay linear

@@ -153,3 +153,11 @@ def test_edge_rows(spark):
 def test_repeated_rows_without_a_group(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "quite another text")], "doc_id long, text string")
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [1, 2]
+
+
+def test_columns_that_have_no_order(spark):
+    text = "some words of a text"
+    rows = [(1, text, {"a": 1}, (2, {"b": 3}), [{"c": 4}])] * 2 + [(2, text, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, m map<string,int>, s struct<x:int, y:map<string,int>>, l array<map<string,int>>")
+    got = simhash.drop_near_duplicates(df)
+    assert got.columns == df.columns and [r.doc_id for r in got.collect()] == [1]
