@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later runs of lines that repeat earlier ones go; so do documents without a line left."""
-    return linededup.drop_repeated_lines(docs)
+    """Later runs of words that repeat earlier ones go; so do documents of which they are more than half: what would be left of them are the edits of a near copy."""
+    return linededup.drop_repeated_lines(docs, least_left=0.5)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
