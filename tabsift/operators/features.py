@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabsift.functions.stats import chi_square_median
-from tabsift.functions.storage import checkpointed
+from tabsift.functions.stats import Z975, chi_square_median
 
 
 def first_digit(x: Column) -> Column:
@@ -98,24 +98,78 @@ def flag_tree(features: DataFrame, label: str, inputs: list[str], depth: int = 4
     return model, model.transform(x)
 
 
-def elastic_net(features: DataFrame, label: str, inputs: list[str], folds: int = 4, seed: int = 1):
-    """Elastic net with mixing 0.95; of penalties whose error is within one standard error of the best the largest; then least squares on what it keeps: (kept inputs, coefficients, intervals)."""
-    import numpy as np
-    from pyspark.ml.evaluation import RegressionEvaluator
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-
-    features = checkpointed(features.na.drop(subset=inputs + [label]).select(label, *inputs))  # read once for each fit
-    x = VectorAssembler(inputCols=inputs, outputCol="x").transform(features).select("x", F.col(label).cast("double").alias("y"), F.pmod(F.xxhash64(F.lit(seed), *inputs), F.lit(folds)).alias("fold"))
-    rmse, lambdas = RegressionEvaluator(labelCol="y", metricName="mse"), np.geomspace(1.0, 0.01, 5)
-    errors = np.array([[rmse.evaluate(LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=0.95, regParam=float(l)).fit(x.filter(F.col("fold") != k)).transform(x.filter(F.col("fold") == k))) for k in range(folds)] for l in lambdas])
-    mean, se = errors.mean(1), errors.std(1, ddof=1) / np.sqrt(folds)
-    chosen = float(lambdas[np.flatnonzero(mean <= mean.min() + se[mean.argmin()])[0]])
-    fit = LinearRegression(featuresCol="x", labelCol="y", elasticNetParam=0.95, regParam=chosen).fit(x)
-    kept = [c for c, b in zip(inputs, fit.coefficients) if abs(b) > 1e-9]
-    if not kept:
+def _moments(features: DataFrame, columns: list[str], fold: Column) -> dict[int, np.ndarray]:
+    """By fold, the sums of products of all pairs of columns, a constant 1 first: one aggregation, whatever is fitted after."""
+    x = [F.lit(1.0), *[F.col(c).cast("double") for c in columns]]
+    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
+    rows = features.groupBy(fold.alias("fold")).agg(*[F.sum(x[i] * x[j]).alias(f"m{i}_{j}") for i, j in pairs]).collect()
+    out = {}
+    for r in rows:
+        m = np.zeros((len(x), len(x)))
+        for i, j in pairs:
+            m[i, j] = m[j, i] = r[f"m{i}_{j}"]
+        out[r["fold"]] = m
+    return out
+
+
+def _path(m: np.ndarray, lambdas: np.ndarray, mixing: float) -> np.ndarray:
+    """Coefficients, the intercept first, by penalty; by coordinate descent on standardised inputs, each penalty from the one before."""
+    n = m[0, 0]
+    mean = m[0] / n
+    cov = m / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[1:-1], 0))
+    ok = sd > 0
+    scale = np.where(ok, sd, 1.0)
+    g, c = cov[1:-1, 1:-1] / np.outer(scale, scale), cov[1:-1, -1] / scale
+    b, out = np.zeros(len(sd)), []
+    for l in lambdas:
+        for _ in range(1000):
+            before = b.copy()
+            for k in np.flatnonzero(ok):
+                r = c[k] - g[k] @ b + g[k, k] * b[k]
+                b[k] = np.sign(r) * max(abs(r) - l * mixing, 0) / (g[k, k] + l * (1 - mixing))
+            if np.abs(b - before).max() < 1e-9 * max(np.abs(b).max(), 1):
+                break
+        slope = b / scale
+        out.append(np.concatenate(([mean[-1] - slope @ mean[1:-1]], slope)))
+    return np.array(out)
+
+
+def _squares(m: np.ndarray, b: np.ndarray) -> float:
+    """The residual sum of squares of coefficients on the rows that m sums up."""
+    v = np.append(b, -1.0)
+    return float(v @ m @ v)
+
+
+def elastic_net(features: DataFrame, label: str, inputs: list[str], folds: int = 10, penalties: int = 100, mixing: float = 0.95, seed: int = 1) -> tuple[list[str], list[float], list[tuple[float, float]]]:
+    """(kept inputs, coefficients, intervals): elastic net, then least squares on what it keeps.
+
+    Of the path of penalties the largest is taken whose cross-validated error is
+    within one standard error of the least. Rows are read once, for their sums of
+    products by fold; paths, errors and intervals follow from these on the driver.
+    """
+    rows = features.na.drop(subset=inputs + [label])
+    parts = _moments(rows, [*inputs, label], F.pmod(F.xxhash64(F.lit(seed), *inputs, label), F.lit(folds)))
+    if not parts:
+        return [], [], []
+    total = sum(parts.values())
+    n = total[0, 0]
+    mean = total[0] / n
+    cov = total / n - np.outer(mean, mean)
+    sd = np.sqrt(np.maximum(np.diag(cov)[1:-1], 0))
+    top = np.abs(cov[1:-1, -1] / np.where(sd > 0, sd, np.inf)).max() / mixing
+    lambdas = np.geomspace(top, top * 1e-4, penalties) if top > 0 else np.array([1.0])
+    errors = np.array([[_squares(m, b) / m[0, 0] for b in _path(total - m, lambdas, mixing)] for m in parts.values()])
+    weight = np.array([m[0, 0] for m in parts.values()]) / n
+    mse = weight @ errors
+    se = np.sqrt(weight @ (errors - mse) ** 2 / max(len(parts) - 1, 1))
+    chosen = int(np.flatnonzero(mse <= mse.min() + se[mse.argmin()])[0])
+    kept = np.flatnonzero(np.abs(_path(total, lambdas[: chosen + 1], mixing)[-1][1:]) > 1e-9)
+    if not len(kept):
         return [], [], []
-    again = VectorAssembler(inputCols=kept, outputCol="z").transform(features)
-    ols = LinearRegression(featuresCol="z", labelCol=label, solver="normal").fit(again)
-    sd = ols.summary.coefficientStandardErrors
-    return kept, list(ols.coefficients), [(b - 1.959963984540054 * s, b + 1.959963984540054 * s) for b, s in zip(ols.coefficients, sd)]
+    pick = np.concatenate(([0], kept + 1))
+    inverse = np.linalg.inv(total[np.ix_(pick, pick)])
+    b = inverse @ total[pick, -1]
+    left = total[-1, -1] - b @ total[pick, -1]
+    error = np.sqrt(np.maximum(left, 0) / max(n - len(pick), 1) * np.diag(inverse))
+    return [inputs[k] for k in kept], [float(x) for x in b[1:]], [(float(x - Z975 * e), float(x + Z975 * e)) for x, e in zip(b[1:], error[1:])]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tabsift.functions import stats
 from tabsift.functions.text import repair_numbers, sample_size_in
-from tabsift.operators import comparisons, posterior, rules
+from tabsift.operators import comparisons, features, posterior, rules
 from tabsift.operators.tables import interpret
 from tabsift.plans.golden import _wrap
 
@@ -114,3 +114,31 @@ def test_posterior_against_draws_of_the_model(spark):
         assert got[k].p_flag == pytest.approx(w.mean() / (1 + w.mean()), abs=0.01)
         assert got[k].slab_mean == pytest.approx((w * beta).mean() / w.mean(), abs=0.05)
     assert got["precise"].p_flag > 0.95 and got["variable"].p_flag > 0.95 and got["null"].p_flag < 0.5
+
+
+def test_penalised_paths_meet_their_optimality_conditions():
+    rng = np.random.default_rng(0)
+    x = rng.normal(3, 2, (200, 5)) * [1, 5, 0.1, 1, 1]
+    y = 2 * x[:, 0] - 0.5 * x[:, 1] + rng.normal(0, 1, 200)
+    z = np.column_stack((np.ones(200), x, y))
+    lambdas = np.geomspace(3, 0.01, 12)
+    for l, b in zip(lambdas, features._path(z.T @ z, lambdas, 0.95)):
+        left, s = y - b[0] - x @ b[1:], x.std(0)
+        slope = ((x - x.mean(0)) / s).T @ left / 200
+        beta = b[1:] * s
+        on = np.abs(beta) > 1e-12
+        assert left.mean() == pytest.approx(0, abs=1e-8)
+        assert slope[on] == pytest.approx(l * (0.95 * np.sign(beta[on]) + 0.05 * beta[on]), abs=1e-6) and (np.abs(slope[~on]) <= 0.95 * l + 1e-6).all()
+        assert features._squares(z.T @ z, b) == pytest.approx((left**2).sum())
+
+
+def test_elastic_net_keeps_what_matters(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(0, 1, (800, 6))
+    y = 1.5 * x[:, 0] - x[:, 3] + 4 + rng.normal(0, 1, 800)
+    df = spark.createDataFrame([(float(b), *map(float, a), None if i % 50 == 0 else 1.0) for i, (a, b) in enumerate(zip(x, y))], "y double, " + ", ".join(f"x{k} double" for k in range(6)) + ", gap double")
+    kept, coefficients, intervals = features.elastic_net(df, "y", [f"x{k}" for k in range(6)])
+    want = np.linalg.lstsq(np.column_stack((np.ones(800), x[:, [0, 3]])), y, rcond=None)[0]
+    assert kept == ["x0", "x3"] and coefficients == pytest.approx(want[1:], abs=1e-9)
+    assert all(lo < b < hi for (lo, hi), b in zip(intervals, (1.5, -1.0)))
+    assert features.elastic_net(df, "gap", ["x0"])[0] == [] and features.elastic_net(df.limit(0), "y", ["x0"]) == ([], [], [])
