@@ -35,11 +35,14 @@ Defined results:
   by form alone, and add to no total;
 * targets needn't add up to 1, they are scaled; a target that no document can
   supply is met as closely as least squares goes;
-* every row has a rate of its own: equal texts have equal rates.
+* every row has a rate of its own: equal texts have equal rates;
+* ``most`` bounds all rates, by default not at all: with it few documents can't
+  stand for many, and the targets are met as closely as least squares goes then.
 """
 
 from __future__ import annotations
 
+import math
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -205,12 +208,12 @@ def _momentum(k: int) -> float:
     return k / (k + 3)
 
 
-def rates(p: np.ndarray, gradients: list[np.ndarray], step: float, ahead: bool = False) -> np.ndarray:
+def rates(p: np.ndarray, gradients: list[np.ndarray], step: float, ahead: bool = False, most: float = math.inf) -> np.ndarray:
     """Rates after the given gradients; ``ahead``: where the next gradient is to be taken."""
     r = before = y = np.ones(len(p))
     for k, g in enumerate(gradients):
-        before, r = r, np.maximum(y - step * (p @ g), 0.0)
-        y = np.maximum(r + _momentum(k) * (r - before), 0.0)
+        before, r = r, np.clip(y - step * (p @ g), 0.0, most)
+        y = np.clip(r + _momentum(k) * (r - before), 0.0, most)
     return y if ahead else r
 
 
@@ -223,10 +226,11 @@ class Mix:
     targets: np.ndarray
     totals: np.ndarray
     shift: np.ndarray | None = None
+    most: float = math.inf
 
     def rate(self, p: np.ndarray) -> np.ndarray:
-        r = rates(p, self.gradients, self.step)
-        return r if self.shift is None else np.maximum(r - p @ self.shift, 0.0)
+        r = rates(p, self.gradients, self.step, most=self.most)
+        return r if self.shift is None else np.clip(r - p @ self.shift, 0.0, self.most)
 
     @property
     def miss(self) -> float:
@@ -258,8 +262,10 @@ def cells(members: DataFrame) -> DataFrame:
     return stash(sides.select("n_words", F.array(*[F.col(f"s{i}") / F.col("n_words") for i in range(len(p))]).alias("p")))
 
 
-def solve(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, tolerance: float = TOLERANCE) -> Mix:
-    """Fit the rates to a table of memberships(). Warns if the targets aren't met."""
+def solve(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int = STEPS, tolerance: float = TOLERANCE, most: float = math.inf) -> Mix:
+    """Fit the rates, ``most`` at most, to a table of memberships(). Warns if the targets aren't met."""
+    if not most > 0:
+        raise ValueError("the greatest rate must be above 0")
     want = np.array([max(targets.get(d, 0.0), 0.0) for d in DOMAINS])
     if not want.sum() > 0:
         raise ValueError("a target must be above 0")
@@ -269,17 +275,17 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int =
     gram = _sums(few, lambda p: np.einsum("ni,nj->nij", p, p).reshape(len(p), -1), k * k).reshape(k, k)
     words = gram.sum()  # posteriors add up to 1
     if not words > 0:
-        return Mix([], 0.0, want, np.zeros(k))
+        return Mix([], 0.0, want, np.zeros(k), most=most)
     step = 1 / float(np.linalg.eigvalsh(gram / words).max())
     gradients: list[np.ndarray] = []
     while True:
         now = list(gradients)
-        both = _sums(few, lambda p: np.hstack([p * rates(p, now, step)[:, None], p * rates(p, now, step, True)[:, None]]), 2 * k) / words
+        both = _sums(few, lambda p: np.hstack([p * rates(p, now, step, ahead, most)[:, None] for ahead in (False, True)]), 2 * k) / words
         if np.abs(both[:k] - want).max() <= tolerance / 2 or len(gradients) == steps:
             break
         gradients.append(both[k:] - want)
-    totals = _sums(members, lambda p: p * rates(p, now, step)[:, None], k) / words
-    mix = Mix(gradients, step, want, totals)
+    totals = _sums(members, lambda p: p * rates(p, now, step, most=most)[:, None], k) / words
+    mix = Mix(gradients, step, want, totals, most=most)
     if mix.miss > tolerance:
         mix = _finish(members, mix, words, tolerance)
     if mix.miss > tolerance:
@@ -288,14 +294,15 @@ def solve(members: DataFrame, targets: dict[str, float] = TARGETS, steps: int =
 
 
 def _finish(members: DataFrame, mix: Mix, words: float, tolerance: float) -> Mix:
-    """Newton steps on the convex dual 1/2 sum(w * max(r - p @ x, 0)**2) + x @ targets + WEIGHT/2 * x @ x, from x = 0."""
+    """Newton steps on the convex dual sum(w * (r * z - r * r / 2)) + x @ targets + WEIGHT/2 * x @ x with z the rates so far less p @ x, and r these kept from 0 to the greatest, from x = 0."""
     k = len(mix.targets)
 
     def moments(p: np.ndarray, tried: list[np.ndarray]) -> np.ndarray:
-        r0, out = rates(p, mix.gradients, mix.step), []
+        r0, out = rates(p, mix.gradients, mix.step, most=mix.most), []
         for x in tried:
-            r = np.maximum(r0 - p @ x, 0.0)
-            out += [(r * r)[:, None], p * r[:, None], np.einsum("ni,nj->nij", p, p * (r > 0)[:, None]).reshape(len(p), -1)]
+            z = r0 - p @ x
+            r = np.clip(z, 0.0, mix.most)
+            out += [(2 * r * z - r * r)[:, None], p * r[:, None], np.einsum("ni,nj->nij", p, p * ((z > 0) & (z < mix.most))[:, None]).reshape(len(p), -1)]
         return np.hstack(out)
 
     def at(tried: list[np.ndarray]) -> list[tuple]:
@@ -312,19 +319,19 @@ def _finish(members: DataFrame, mix: Mix, words: float, tolerance: float) -> Mix
         if not best[0] < value:
             break
         value, x, totals, gram = best
-    return Mix(mix.gradients, mix.step, mix.targets, totals, x)
+    return Mix(mix.gradients, mix.step, mix.targets, totals, x, mix.most)
 
 
-def fit_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, Classifier, Mix]:
+def fit_mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", most: float = math.inf) -> tuple[DataFrame, Classifier, Mix]:
     """(memberships, classifier, mix) of a table."""
     model = fit_labels(docs, labels, id_col, text_col)
     members = stash(memberships(docs, model, id_col, text_col))
-    return members, model, solve(members, targets)
+    return members, model, solve(members, targets, most=most)
 
 
-def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", most: float = math.inf) -> DataFrame:
     """(doc_id, n_words, p_good, p_toxic, p_poor, rate) of every row."""
-    members, _, mix = fit_mix(docs, labels, targets, id_col, text_col)
+    members, _, mix = fit_mix(docs, labels, targets, id_col, text_col, most)
 
     @F.pandas_udf("double")
     def rate(p: pd.Series) -> pd.Series:
@@ -333,13 +340,13 @@ def document_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float]
     return members.select("doc_id", "n_words", *[F.col("p")[k].alias(f"p_{d}") for k, d in enumerate(DOMAINS)], rate("p").alias("rate"))
 
 
-def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, id_col: str = "doc_id", text_col: str = "text", most: float = math.inf) -> DataFrame:
     """The rows of docs, all columns, each as often as its rate says.
 
     A rate's whole part is taken so many times, and its fraction once more with
     that probability, drawn from a hash of id and text: the same rows every time.
     """
-    _, model, mix = fit_mix(docs, labels, targets, id_col, text_col)
+    _, model, mix = fit_mix(docs, labels, targets, id_col, text_col, most)
 
     @F.pandas_udf("double")
     def rate(text: pd.Series) -> pd.Series:

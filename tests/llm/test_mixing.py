@@ -71,6 +71,21 @@ def test_production_targets_are_met(spark, targets):
     assert (mix.rate(p) >= 0).all() and np.abs(got - mix.targets).max() <= M.TOLERANCE and got == pytest.approx(mix.totals, abs=1e-9)
 
 
+@pytest.mark.parametrize("most", [1.5, 4.0])
+def test_bounded_rates_are_the_least_squares_solution(spark, most):
+    """At the optimum no rate inside its bounds has a slope, none at 0 wants to rise, and none at the greatest to rise less."""
+    rng = np.random.default_rng(3)
+    p, words = rng.dirichlet([4, 1, 1], 2000), rng.integers(1, 500, 2000)
+    with pytest.warns(RuntimeWarning, match="mixing reaches"):
+        mix = M.solve(members(spark, p, words).repartition(4), corpus_pipeline.TARGETS, most=most)
+    r = mix.rate(p)
+    gap = (p * (r * words)[:, None]).sum(0) / words.sum() - mix.targets
+    slope = p @ gap
+    assert r.min() >= 0 and r.max() == most and gap + mix.targets == pytest.approx(mix.totals, abs=1e-9)
+    inside = (r > 1e-6) & (r < most - 1e-6)
+    assert np.abs(slope[inside]).max(initial=0) < 2e-3 and slope[r <= 1e-6].min(initial=0) > -2e-3 and slope[r >= most - 1e-6].max(initial=0) < 2e-3
+
+
 def test_a_miss_is_reported_and_is_the_least_squares_solution(spark):
     p = np.array([[0.8, 0.1, 0.1], [0.5, 0.3, 0.2]])
     with pytest.warns(RuntimeWarning, match="mixing reaches"):

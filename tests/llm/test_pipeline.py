@@ -52,9 +52,10 @@ def test_each_stage_against_brute_force(spark, sf):
     assert sorted(r.doc_id for r in apart.collect()) == sorted({r.doc_id for r in rows} - gone) and gone
     # mixing: each document as often as its rate says, with the same draw
     labels = spark.read.parquet(f"{sf}/labels.parquet")
-    rates = mixing.document_rates(apart, labels, P.TARGETS)
+    rates = mixing.document_rates(apart, labels, P.TARGETS, most=P.MOST_TIMES)
     draw = F.pmod(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     times = {r.doc_id: math.floor(r.rate + r.draw) for r in apart.join(rates.select("doc_id", "rate"), "doc_id").select("doc_id", "rate", draw.alias("draw")).collect()}
+    assert max(times.values()) <= P.MOST_TIMES + 1
     mixed = stash(stages["mix_sources"](spark, apart, sf))
     assert Counter(r.doc_id for r in mixed.collect()) == Counter({k: n for k, n in times.items() if n})
     # packing: every word of every row once, no bin over its capacity, and as few bins as the sizes allow, but for one in fifty
