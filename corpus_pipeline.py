@@ -17,6 +17,8 @@ from tabsift.llm.common import shared_dir, stash
 
 #: After the quality rules little poor text is left to mix in.
 TARGETS = {"good": 0.97, "toxic": 0.02, "poor": 0.01}
+#: No document is taken more often; what of the targets this puts out of reach is warned of.
+MOST_TIMES = 4.0
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +37,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or go so that the domains' words meet their targets."""
-    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS)
+    """Documents are repeated, MOST_TIMES at most, or go so that the domains' words come near their targets."""
+    return mixing.resample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), TARGETS, most=MOST_TIMES)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
