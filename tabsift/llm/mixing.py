@@ -316,7 +316,7 @@ def _finish(members: DataFrame, mix: Mix, words: float, tolerance: float) -> Mix
             break
         move = np.linalg.solve(gram + WEIGHT * np.eye(k), slope)
         best = min(at([x - length * move for length in LENGTHS]), key=lambda t: t[0])
-        if not best[0] < value:
+        if not best[0] < value - 1e-13 * abs(value):
             break
         value, x, totals, gram = best
     return Mix(mix.gradients, mix.step, mix.targets, totals, x, mix.most)
