@@ -63,7 +63,7 @@ CELLS, STEPS, TOLERANCE, FIT_STEPS, RIDGE = 256, 60, 5e-4, 150, 1e-4
 #: Twice the log likelihood ratio of a word's documents by domain; chance gives 20 to one word in 20 thousand.
 EVIDENCE = 20.0
 #: Newton steps at most, the lengths tried in each pass, and the weight of the distance to the rates before.
-NEWTON, LENGTHS, WEIGHT = 100, 0.4 ** np.arange(24), 1e-8
+NEWTON, LENGTHS, WEIGHT = 40, 0.4 ** np.arange(24), 1e-8
 _FORM = 6 * 16  # binned measures come after the hashed words
 _BYTE = np.arange(256)
 _SYMBOL = np.isin(_BYTE, [ord(c) for c in "#%&*$|!{}<>~^=_"]).astype(np.uint8)
