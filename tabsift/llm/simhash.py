@@ -14,13 +14,17 @@ differs in both its halves of 4 bits broken; it takes 2 bits at least.
 * None agrees: 4 bytes are broken at most, so of any 6 segments two are whole.
   Codes are routed by the halves of the first 5 segments as well, and in such a
   bucket the halves of a later one among the first 6 are looked up.
-Whatever meets so, about 0.011 of all pairs of codes, is pruned by the pigeonring:
-on the ring of 8 segments of 16 bits, a pair within 20 bits has a segment from which
-on every chain of l consecutive segments differs in at most l * 20 / 8 bits, so that
-chains of one, two and three segments must stay within 2, 5 and 7 bits from a common
-start. Few unrelated pairs do, and only what does gets the full Hamming check.
-(Chains can't do the routing too at this distance: they start at segments that
-differ in up to 2 bits, which 0.017 of all pairs have.)
+A bucket's codes are compared in blocks, all with all: a cell of a block is an
+exclusive or and a count of bits over contiguous arrays, some tenth of what it costs
+to form a single pair. Only a bucket that is large for its number of look-ups (DENSE
+codes for each) is split by them, and then its groups are blocks. What meets in groups
+of FEW codes or less is formed singly and pruned by the pigeonring: on the ring of 8
+segments of 16 bits, a pair within 20 bits has a segment from which on every chain of
+l consecutive segments differs in at most l * 20 / 8 bits, so that chains of one, two
+and three segments must stay within 2, 5 and 7 bits from a common start. Few unrelated
+pairs do, and only what does gets the full Hamming check. (Chains can't do the routing
+too at this distance: they start at segments that differ in up to 2 bits, which 0.017
+of all pairs have.)
 
 Groups are the connected components of the pairs. A bucket emits a spanning
 star per component, never its pairs, so that copies by the thousand stay linear
@@ -39,6 +43,7 @@ Defined results:
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -55,7 +60,9 @@ BITS, SEGMENTS, MAX_DISTANCE, CHAIN = 128, 8, 20, 3
 _HALVES = [(0xF0, 0xF0), (0xF0, 0x0F), (0x0F, 0xF0), (0x0F, 0x0F)]
 _WHOLE = [(s, h) for s in range(5) for h in range(4)]
 _KINDS = 16 + len(_WHOLE)
-_ROWS, _PAIRS = 1 << 15, 1 << 20
+_ROWS, _PAIRS, _CELLS = 1 << 15, 1 << 20, 1 << 15
+#: Neither changes any result.
+DENSE, FEW = 1024, 16
 
 
 def codes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +124,7 @@ def _half(code: np.ndarray, segment: int, h: int) -> np.ndarray:
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each code 36 times, under the bucket of each of its bytes and of the halves of its first segments."""
     for b in batches:
-        code = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(-1, 16)
+        code = _bytes(b.column(0))
         n = len(code)
         kinds = np.hstack([code, *(_half(code, s, h)[:, None] for s, h in _WHOLE)])
         bucket = (np.arange(_KINDS, dtype=np.int32)[None, :] * 256 + kinds).reshape(-1)
@@ -156,29 +163,75 @@ def _ring(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
     return ok.any(axis=1)
 
 
+def _near(hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All index pairs within MAX_DISTANCE, each once, by blocks of some _CELLS comparisons."""
+    n, a = len(hi), 0
+    while a < n - 1:
+        m = n - a
+        b = min(n, a + max(1, _CELLS // m))
+        x = np.bitwise_count(hi[a:b, None] ^ hi[None, a:])
+        x += np.bitwise_count(lo[a:b, None] ^ lo[None, a:])
+        i, j = np.divmod(np.flatnonzero(x <= MAX_DISTANCE), m)
+        ok = i < j
+        yield a + i[ok], a + j[ok]
+        a = b
+
+
+def _met(key: np.ndarray, hi: np.ndarray, lo: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs within MAX_DISTANCE of equal 8-bit keys, each once."""
+    by = np.argsort(key, kind="stable")
+    size = np.bincount(key, minlength=256)
+    h, l, ends = hi[by], lo[by], np.cumsum(size)
+    for k in np.flatnonzero(size > FEW):
+        group = slice(ends[k] - size[k], ends[k])
+        for i, j in _near(h[group], l[group]):
+            yield by[group][i], by[group][j]
+    rest = np.flatnonzero(size[key] <= FEW)
+    for i, j in _equal(key[rest]):
+        i, j = rest[i], rest[j]
+        x, y = hi[i] ^ hi[j], lo[i] ^ lo[j]
+        ok = _ring(x, y)
+        i, j, x, y = i[ok], j[ok], x[ok], y[ok]
+        ok = np.bitwise_count(x) + np.bitwise_count(y) <= MAX_DISTANCE
+        yield i[ok], j[ok]
+
+
 def pairs_in_bucket(code: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within MAX_DISTANCE that a bucket of this kind must find, in bounded blocks; some come more than once."""
     if kind < 16:
-        elsewhere = [s for s in range(SEGMENTS) if s != kind // 2][:6]
-        keys = [code[:, c] for c in range(kind + 1, 16)] + [_half(code, s, h) for s in elsewhere for h in range(4)]
+        later = range(kind + 1, 16)
+        halves = [(s, h) for s in [s for s in range(SEGMENTS) if s != kind // 2][:6] for h in range(4)]
     else:
-        keys = [_half(code, s, h) for s in range(_WHOLE[kind - 16][0] + 1, 6) for h in range(4)]
+        later = range(0)
+        halves = [(s, h) for s in range(_WHOLE[kind - 16][0] + 1, 6) for h in range(4)]
     both = np.ascontiguousarray(code).view(np.uint64)
     hi, lo = np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
-    for key in keys:
-        for i, j in _equal(key):
-            x, y = hi[i] ^ hi[j], lo[i] ^ lo[j]
-            ok = _ring(x, y)
-            i, j, x, y = i[ok], j[ok], x[ok], y[ok]
-            ok = np.bitwise_count(x) + np.bitwise_count(y) <= MAX_DISTANCE
-            i, j = i[ok], j[ok]
-            yield np.minimum(i, j), np.maximum(i, j)
+    if len(code) <= DENSE * (len(later) + len(halves)):
+        found = _near(hi, lo)
+    else:
+        keys = chain((code[:, c] for c in later), (_half(code, s, h) for s, h in halves))
+        found = chain.from_iterable(_met(key, hi, lo) for key in keys)
+    parts, size = [], 0
+    for i, j in found:
+        if len(i):
+            parts.append((np.minimum(i, j), np.maximum(i, j)))
+            size += len(i)
+        if size >= _PAIRS // 16:
+            yield tuple(map(np.concatenate, zip(*parts)))
+            parts, size = [], 0
+    if parts:
+        yield tuple(map(np.concatenate, zip(*parts)))
+
+
+def _bytes(raw: pa.Array) -> np.ndarray:
+    """Codes of a column as an array of n x 16 bytes."""
+    return K.buffers(raw.cast(pa.binary()).view(pa.string()))[0].reshape(-1, 16)
 
 
 def _star(key: tuple, table: pa.Table) -> pa.Table:
     """A spanning star of each component among the codes of a bucket."""
     raw = table.column("code").combine_chunks()
-    code = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).reshape(-1, 16)
+    code = _bytes(raw)
     label = np.arange(len(code))
     for i, j in pairs_in_bucket(code, key[0].as_py() // 256):
         while True:

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -60,6 +61,35 @@ def test_routes_find_pairs_without_an_equal_byte():
     assert got == {frozenset((code[i].tobytes(), code[j].tobytes())) for i, j in itertools.combinations(range(len(code)), 2) if d[i, j] <= 20} and len(got) >= 60
 
 
+def timed(f):
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        out = f()
+        took.append(time.process_time() - began)
+    return out, min(took)
+
+
+def pairs_of(code, kind):
+    return {x for i, j in simhash.pairs_in_bucket(code, kind) for x in zip(i.tolist(), j.tolist())}
+
+
+def test_comparing_a_bucket_costs_little_more_than_counting_bits():
+    """Bits that lean to one side, as those of texts in one language, make many candidates."""
+    code = np.packbits(np.random.default_rng(1).random((6000, 128)) < 0.25, axis=1)
+    code[:, 0], code[3000:3100] = 7, code[:100]
+    code[3000:3100, 5] ^= 3
+    hi, lo = code.view(np.uint64).T.copy()
+
+    def plain():
+        near = [np.flatnonzero(np.bitwise_count(hi[k] ^ hi) + np.bitwise_count(lo[k] ^ lo) <= simhash.MAX_DISTANCE) for k in range(len(code))]
+        return {(k, j) for k, x in enumerate(near) for j in x.tolist() if k < j}
+
+    (want, least), (got, took) = timed(plain), timed(lambda: pairs_of(code, 0))
+    assert got == want and len(want) >= 100
+    assert took < 2 * least
+
+
 def test_chains_keep_all_pairs_within_the_distance_and_few_others():
     rng = np.random.default_rng(3)
     near = np.zeros((20_000, 128), np.uint8)
