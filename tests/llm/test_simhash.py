@@ -90,6 +90,32 @@ def test_comparing_a_bucket_costs_little_more_than_counting_bits():
     assert took < 2 * least
 
 
+@pytest.mark.parametrize("kind", [0, 9, 15, 16, 26, 35])
+def test_large_buckets_are_split_without_a_loss(monkeypatch, kind):
+    rng = np.random.default_rng(kind)
+    code = np.unique(random_codes(1600, kind), axis=0)[:, rng.permutation(16)]
+    if kind < 16:
+        code[:, kind] = 7
+    else:  # equal halves, and none of a segment before
+        s, h = simhash._WHOLE[kind - 16]
+        for x, mask in zip((2 * s, 2 * s + 1), simhash._HALVES[h]):
+            code[:, x] = code[:, x] & ~np.uint8(mask) | np.uint8(0x55 & mask)
+    code = np.unique(code, axis=0)
+    monkeypatch.setattr(simhash, "DENSE", 10**9)
+    monkeypatch.setattr(simhash, "_CELLS", 1 << 12)
+    whole = pairs_of(code, kind)
+    x = np.bitwise_count(code[:, None] ^ code[None]).sum(2)
+    assert whole == {(i, j) for i, j in zip(*(v.tolist() for v in np.nonzero(x <= simhash.MAX_DISTANCE))) if i < j} and len(whole) > 200
+    if kind >= 16:  # only pairs with a whole segment among the first 6 after this one must meet here
+        later = [(t, g) for t in range(simhash._WHOLE[kind - 16][0] + 1, 6) for g in range(4)]
+        whole = {(i, j) for i, j in whole if any(len(set(simhash._half(code[[i, j]], t, g).tolist())) == 1 for t, g in later)}
+    for few in (0, 2, 16):  # blocks alone, both, pairs formed singly
+        monkeypatch.setattr(simhash, "DENSE", 0)
+        monkeypatch.setattr(simhash, "FEW", few)
+        got = pairs_of(code, kind)
+        assert got == whole
+
+
 def test_chains_keep_all_pairs_within_the_distance_and_few_others():
     rng = np.random.default_rng(3)
     near = np.zeros((20_000, 128), np.uint8)
