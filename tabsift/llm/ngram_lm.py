@@ -6,9 +6,11 @@ shards by their middle word: a shard has all that precedes and all that follows
 (v, w) and (u, v), so it counts the trigrams, the distinct predecessors of each
 bigram (v, w), which are its count at the order below, and the followers of each
 context (u, v), in one exchange. What is known of single words adds up over
-shards and goes on to shards of words. Each shard writes its n-grams as sorted
+shards and goes on to parts of words. Each shard writes its n-grams as sorted
 arrays of 64-bit hashes, which workers map into memory, so that all of a
-machine's workers share one copy in the page cache.
+machine's workers share one copy in the page cache. A task takes the shards of a
+part one after the other and adds their arrays to the part's files: shards are as
+many as memory asks for, and parts as few as look-ups in all of them ask for.
 
 p(w | u v) = max(c(u v w) - D3(c), 0) / c(u v .) + g(u v) * p(w | v), with
 p(w | v) the same over distinct predecessors a(v w), and p(w) over those of w,
@@ -40,9 +42,11 @@ Defined results:
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -56,7 +60,7 @@ from tabsift.llm.common import col, key_type, local_path, shared_dir
 
 U64 = np.uint64
 START, END = U64(1), U64(2)
-ORDER, FLUSH, SCORE = 3, 1_000_000, 500_000
+ORDER, FLUSH, SCORE, PARTS = 3, 1_000_000, 500_000, 64
 #: Bounds of the sample; a text counts with its first SAMPLE_CHARS characters there.
 SAMPLE_ROWS, SAMPLE_CHARS, CODES = 2000, 20_000, 65_535
 WORD_DT = np.dtype([("cont", "<u8"), ("n1", "<u8"), ("n2", "<u8"), ("n3", "<u8"), ("total", "<u8")])
@@ -172,16 +176,34 @@ def _merge(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray) -> tuple[
     return pair[new], u[new], v[order][new], w[order][new], np.add.reduceat(c, new)
 
 
-def pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, pair: np.ndarray, codes: np.ndarray) -> bytes:
-    """Trigrams of _merge(): a middle word once, then its pairs' last words, then their first words."""
+def pack_all(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, pair: np.ndarray, codes: np.ndarray, at: np.ndarray) -> list[bytes]:
+    """Trigrams of _merge() in shards that begin at ``at``: a middle word once, then its pairs' last words, then their first words."""
     head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
     run, vs = np.diff(np.append(head, len(pair))), v[head]
-    top = np.flatnonzero(np.concatenate(([True], vs[1:] != vs[:-1])))
-    return _join([*_coded(vs[top], codes), *_small(np.diff(np.append(top, len(vs)))), *_coded(w[head], codes), *_small(run), *_coded(u, codes), *_small(c)])
+    at_head = np.searchsorted(head, at)
+    new = np.concatenate(([True], vs[1:] != vs[:-1]))
+    new[at_head[at_head < len(vs)]] = True
+    top = np.flatnonzero(new)
+    at_top = np.searchsorted(top, at_head)
+    fields, cuts = [], []
+    for x, cut, coded in ((vs[top], at_top, True), (np.diff(np.append(top, len(vs))), at_top, False), (w[head], at_head, True), (run, at_head, False), (u, at, True), (c, at, False)):
+        first, rest = _coded(x, codes) if coded else _small(x)
+        apart = np.append(0, np.cumsum(first == CODES if coded else x >= 255))
+        fields += [first, rest]
+        cuts += [np.append(cut, len(first)), np.append(apart[cut], apart[-1]) * (6 if coded else 1)]
+    return [_join([f[b[k] : b[k + 1]] for f, b in zip(fields, cuts)]) for k in range(len(at))]
+
+
+def pack(u: np.ndarray, v: np.ndarray, w: np.ndarray, c: np.ndarray, pair: np.ndarray, codes: np.ndarray) -> bytes:
+    return pack_all(u, v, w, c, pair, codes, np.zeros(1, np.int64))[0]
 
 
 def unpack(blob: bytes, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    p = _split(blob)
+    return unpack_all([blob], codes)
+
+
+def unpack_all(blobs: list[bytes], codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    p = [np.concatenate(x) for x in zip(*map(_split, blobs))]
     run = _numbers(p[6], p[7])
     v = np.repeat(_words(p[0], p[1], codes), _numbers(p[2], p[3]))
     return _words(p[8], p[9], codes), np.repeat(v, run), np.repeat(_words(p[4], p[5], codes), run), _numbers(p[10], p[11])
@@ -197,6 +219,11 @@ class Plan:
     spread: np.ndarray
     codes: np.ndarray
 
+    @property
+    def parts(self) -> int:
+        """Files by which shards are looked up, shard s in s % parts; these grow with the root of the input only, as every block of words meets all of them."""
+        return min(self.shards, max(PARTS, 4 * math.isqrt(self.shards)))
+
     def shard(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mid_shard(v, w, self.shards, self.hot, self.spread)
 
@@ -222,15 +249,10 @@ def _count(p: Plan):
         pair, u, v, w, c = _merge(u, v, w, np.ones(len(v), np.int64))
         s = p.shard(v, w)
         order = np.argsort(s, kind="stable")
-        at = np.searchsorted(s[order], np.arange(p.shards + 1))
-        on = [k for k in range(p.shards) if at[k] < at[k + 1]]
-        for i in range(0, len(on), 64):
-            some = on[i : i + 64]
-            blobs = []
-            for k in some:
-                pick = order[at[k] : at[k + 1]]
-                blobs.append(pack(u[pick], v[pick], w[pick], c[pick], pair[pick], p.codes))
-            yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
+        s = s[order]
+        at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+        blobs = pack_all(u[order], v[order], w[order], c[order], pair[order], p.codes, at)
+        yield pa.RecordBatch.from_arrays([pa.array(s[at], pa.int32()), pa.array(blobs, pa.binary())], ["shard", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -250,49 +272,81 @@ def _count(p: Plan):
 # arrays on disk
 
 
-def _save(folder: str, name: str, array: np.ndarray) -> None:
-    """Whole or not at all, so that a repeated task does no harm."""
-    part = os.path.join(folder, f".{name}-{uuid.uuid4().hex}")
-    with open(part, "wb") as f:
-        array.tofile(f)
-    os.replace(part, os.path.join(folder, name))
+class Files:
+    """Files of a folder that arrays are added to; each appears whole or not at all, so that a repeated task does no harm."""
+
+    def __init__(self, folder: str):
+        self.folder, self.mark, self.open, self.rows = folder, uuid.uuid4().hex, {}, {}
+
+    def add(self, name: str, array: np.ndarray) -> None:
+        if name not in self.open:
+            self.open[name] = open(self.part(name), "wb")
+        array.tofile(self.open[name])
+
+    def part(self, name: str) -> str:
+        return os.path.join(self.folder, f".{name}-{self.mark}")
+
+    def close(self) -> None:
+        for name, f in self.open.items():
+            f.close()
+            os.replace(self.part(name), os.path.join(self.folder, name))
+        self.open = {}
+
+    def __enter__(self) -> Files:
+        return self
+
+    def __exit__(self, kind, *_) -> None:
+        if kind is None:
+            self.close()
+        for name, f in self.open.items():
+            f.close()
+            os.unlink(self.part(name))
+
+
+def _into(to: str | Files):
+    return Files(to) if isinstance(to, str) else nullcontext(to)
 
 
 def _slots(n: int) -> int:
     return max(int(n // 8).bit_length(), 1)
 
 
-def _save_keys(folder: str, name: str, keys: np.ndarray) -> np.ndarray:
-    """A sorted array of hashes: 32 bits each below an index by their first bits. Returns the order."""
+def _save_keys(to: Files, name: str, keys: np.ndarray, sub: int) -> tuple[np.ndarray, int]:
+    """A sorted array of hashes: 32 bits each below an index by their first bits. Returns the order, and how many keys of subs before there are."""
     order = np.argsort(keys)
     keys, bits = keys[order], _slots(len(keys))
     top = (keys >> U64(64 - bits)).astype(np.int64)
-    _save(folder, f"{name}.index", np.searchsorted(top, np.arange((1 << bits) + 1)).astype("<u4"))
-    _save(folder, f"{name}.low", ((keys >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype("<u4"))
-    return order
+    to.add(f"{name}.subs", np.array([sub, len(keys)], "<u8"))
+    to.add(f"{name}.index", np.searchsorted(top, np.arange((1 << bits) + 1)).astype("<u4"))
+    to.add(f"{name}.low", ((keys >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype("<u4"))
+    before = to.rows.get(name, 0)
+    to.rows[name] = before + len(keys)
+    return order, before
 
 
-def _save_numbers(folder: str, name: str, x: np.ndarray) -> None:
+def _save_numbers(to: Files, name: str, x: np.ndarray, before: int) -> None:
     low, high = _small(x)
-    _save(folder, f"{name}.byte", low)
-    _save(folder, f"{name}.at", np.flatnonzero(x >= 255).astype("<u8"))
-    _save(folder, f"{name}.big", high)
+    to.add(f"{name}.byte", low)
+    to.add(f"{name}.at", (np.flatnonzero(x >= 255) + before).astype("<u8"))
+    to.add(f"{name}.big", high)
 
 
-def _save_counts(folder: str, name: str, keys: np.ndarray, c: np.ndarray) -> None:
+def _save_counts(to: str | Files, name: str, keys: np.ndarray, c: np.ndarray, sub: int = 0) -> None:
     """Those counted once as keys alone, others with their counts."""
     one = c == 1
-    _save_keys(folder, f"{name}1", keys[one])
-    order = _save_keys(folder, f"{name}2", keys[~one])
-    _save_numbers(folder, f"{name}2", c[~one][order])
+    with _into(to) as files:
+        _save_keys(files, f"{name}1", keys[one], sub)
+        order, before = _save_keys(files, f"{name}2", keys[~one], sub)
+        _save_numbers(files, f"{name}2", c[~one][order], before)
 
 
-def _save_stats(folder: str, name: str, keys: np.ndarray, stats: np.ndarray) -> None:
+def _save_stats(to: str | Files, name: str, keys: np.ndarray, stats: np.ndarray, sub: int = 0) -> None:
     """Contexts with their numbers, but for those that were there once: these are the bigrams that aren't listed here."""
     keep = (stats["total"] > 1) | (keys == _FIRST)
-    order = _save_keys(folder, f"{name}2", keys[keep])
-    for k in STAT_DT.names:
-        _save_numbers(folder, f"{name}2{k}", stats[k][keep][order].astype(np.int64))
+    with _into(to) as files:
+        order, before = _save_keys(files, f"{name}2", keys[keep], sub)
+        for k in STAT_DT.names:
+            _save_numbers(files, f"{name}2{k}", stats[k][keep][order].astype(np.int64), before)
 
 
 @lru_cache(65536)
@@ -303,16 +357,31 @@ def _mapped(file: str, dtype: str) -> np.ndarray:
     return np.memmap(file, dtype, "r")
 
 
-def _search(file: str, keys: np.ndarray) -> np.ndarray:
-    """Where each key is in a file of _save_keys(); -1 where it isn't."""
+@lru_cache(65536)
+def _subs(file: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a file of _save_keys(), by sub: number of keys, bits of its index, and where its keys and its index begin."""
+    sub, n = _mapped(f"{file}.subs", "<u8").reshape(-1, 2).astype(np.int64).T
+    bits = np.array([_slots(x) for x in n.tolist()], np.int64)
+    out = np.zeros((4, sub.max() + 1), np.int64)
+    out[1] = 1
+    out[:, sub] = n, bits, np.cumsum(n) - n, np.cumsum((1 << bits) + 1) - (1 << bits) - 1
+    return tuple(out)
+
+
+def _search(file: str, keys: np.ndarray, sub: np.ndarray | int = 0) -> np.ndarray:
+    """Where each key is among those of its sub in a file of _save_keys(); -1 where it isn't."""
     low, index = _mapped(f"{file}.low", "<u4"), _mapped(f"{file}.index", "<u4")
     out = np.full(len(keys), -1, np.int64)
     if not len(low):
         return out
-    bits = _slots(len(low))
-    top = (keys >> U64(64 - bits)).astype(np.int64)
-    want = ((keys >> U64(32 - bits)) & U64(0xFFFFFFFF)).astype(np.int64)
-    a, b = index[top].astype(np.int64), index[top + 1].astype(np.int64)
+    n, bits, first, begin = _subs(file)
+    k = np.minimum(sub, len(n) - 1)
+    live = (k == sub) & (n[k] > 0)
+    bit = bits[k].astype(U64)
+    top = (keys >> (U64(64) - bit)).astype(np.int64) + begin[k]
+    want = ((keys >> (U64(32) - bit)) & U64(0xFFFFFFFF)).astype(np.int64)
+    a = np.where(live, index[np.where(live, top, 0)].astype(np.int64) + first[k], 0)
+    b = np.where(live, index[np.where(live, top + 1, 0)].astype(np.int64) + first[k], 0)
     end = b.copy()
     open_ = np.flatnonzero(a < b)
     while len(open_):
@@ -335,21 +404,22 @@ def _numbers_at(file: str, at: np.ndarray) -> np.ndarray:
     return x
 
 
-def _count_of(file: str, keys: np.ndarray) -> np.ndarray:
+def _count_of(file: str, keys: np.ndarray, sub: np.ndarray | int = 0) -> np.ndarray:
     """Counts by key of _save_counts(); 0 for unknown keys."""
     out = np.zeros(len(keys), np.int64)
-    at = _search(f"{file}2", keys)
+    sub = np.broadcast_to(sub, len(keys))
+    at = _search(f"{file}2", keys, sub)
     known = at >= 0
     out[known] = _numbers_at(f"{file}2", at[known])
     alone = np.flatnonzero(~known)
-    out[alone[_search(f"{file}1", keys[alone]) >= 0]] = 1
+    out[alone[_search(f"{file}1", keys[alone], sub[alone]) >= 0]] = 1
     return out
 
 
-def _stats_of(file: str, keys: np.ndarray) -> np.ndarray:
+def _stats_of(file: str, keys: np.ndarray, sub: np.ndarray | int = 0) -> np.ndarray:
     """Numbers by key of _save_stats(); 0 for those that it doesn't list."""
     out = np.zeros(len(keys), STAT_DT)
-    at = _search(f"{file}2", keys)
+    at = _search(f"{file}2", keys, sub)
     known = np.flatnonzero(at >= 0)
     for name in STAT_DT.names:
         out[name][known] = _numbers_at(f"{file}2{name}", at[known])
@@ -403,24 +473,39 @@ _COUNTS = ["t1", "t2", "t3", "t4", "b1", "b2", "b3", "b4"]
 
 
 def _grams(folder: str, p: Plan):
-    """A shard of trigrams: writes them and what follows from them, and passes on what other shards add to."""
+    """A part, shard by shard: writes trigrams and what follows from them, and passes on what other parts add to."""
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        shard = key[0].as_py()
-        parts = [unpack(x.as_py(), p.codes) for x in table.column("blob")]
-        pair, u, v, w, c = _merge(*(np.concatenate([x[i] for x in parts]) for i in range(4)))
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
+        shard, blobs = -1, []
+        for b in batches:
+            for k, blob in zip(b.column(0).to_pylist(), b.column(1)):
+                if k != shard and blobs:
+                    yield shard, blobs
+                    blobs = []
+                shard = k
+                blobs.append(blob.as_py())
+        if blobs:
+            yield shard, blobs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with Files(folder) as files:
+            for shard, blobs in shards(batches):
+                yield one(files, *divmod(shard, p.parts), blobs)
+
+    def one(files: Files, sub: int, part: int, blobs: list[bytes]) -> pa.RecordBatch:
+        pair, u, v, w, c = _merge(*unpack_all(blobs, p.codes))
         head = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
         bv, bw = v[head], w[head]
         count = np.add.reduceat(c, head) if p.order == 2 else np.diff(np.append(head, len(pair)))
-        _save_counts(folder, f"b{shard}", pair[head], count)
+        _save_counts(files, f"b{part}", pair[head], count, sub)
         hot_keys, hot_rows = _NONE, np.zeros(0, STAT_DT)
         by3 = [0, 0, 0, 0]
         if p.order > 2:
             context = pair_key(u, v)
-            _save_counts(folder, f"t{shard}", triple_key(context, w), c)
+            _save_counts(files, f"t{part}", triple_key(context, w), c, sub)
             by3 = _by_count(c)
             hot = p.is_hot(v)
-            _save_stats(folder, f"c{shard}", *_sums(context[~hot], c[~hot]))
+            _save_stats(files, f"c{part}", *_sums(context[~hot], c[~hot]), sub)
             hot_keys, hot_rows = _sums(context[hot], c[hot])
         words, sums = _sums(bv, count)
         last, n = np.unique(bw, return_counts=True)
@@ -429,12 +514,12 @@ def _grams(folder: str, p: Plan):
             rows[name][: len(words)] = sums[name]
         rows["cont"][len(words) :] = n
         words = np.concatenate((words, last))
-        to_word, to_hot = key_shard(words, p.shards), key_shard(hot_keys, p.shards)
+        to_word, to_hot = key_shard(words, p.parts), key_shard(hot_keys, p.parts)
         on = np.unique(np.concatenate((to_word, to_hot)))
         blobs = [_join(_pack_rows(words[to_word == k], rows[to_word == k]) + _pack_rows(hot_keys[to_hot == k], hot_rows[to_hot == k])) for k in on]
         known = np.zeros((8, len(on)), np.int64)
         known[:, 0] = by3 + _by_count(count)
-        return pa.table([pa.array(on, pa.int32()), pa.array(blobs, pa.binary()), *map(pa.array, known)], ["shard", "blob", *_COUNTS])
+        return pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(blobs, pa.binary()), *map(pa.array, known)], ["shard", "blob", *_COUNTS])
 
     return run
 
@@ -443,7 +528,7 @@ _WORD_SUMS = ["w1", "w2", "w3", "w4", "w3up", "pairs", "known"]
 
 
 def _finish(folder: str):
-    """A shard of words and of frequent contexts: writes the sums, and returns what the model needs of all shards."""
+    """A part of words and of frequent contexts: writes the sums, and returns what the model needs of all shards."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         parts = [_split(x.as_py()) for x in table.column("blob")]
@@ -454,9 +539,10 @@ def _finish(folder: str):
             both.append(_add(np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])))
         (words, rows), (contexts, stats) = both
         shard = key[0].as_py()
-        _save(folder, f"w{shard}.key", words.astype("<u8"))
-        _save(folder, f"w{shard}.val", rows)
-        _save_stats(folder, f"h{shard}", contexts, stats)
+        with Files(folder) as files:
+            files.add(f"w{shard}.key", words.astype("<u8"))
+            files.add(f"w{shard}.val", rows)
+            _save_stats(files, f"h{shard}", contexts, stats)
         cont = rows["cont"].astype(np.int64)
         sums = [int(pa.compute.sum(table.column(n)).as_py()) for n in _COUNTS]
         mine = [*_by_count(cont), int((cont >= 3).sum()), int(cont.sum()), int((cont > 0).sum())]
@@ -505,7 +591,8 @@ def train(docs: DataFrame, text_col: str = "text", shards: int | None = None, or
     # taken by the driver, which reads no more partitions than it needs
     p = plan([r.text for r in texts.select(F.left("text", F.lit(SAMPLE_CHARS)).alias("text")).take(SAMPLE_ROWS)], shards, order)
     counted = texts.mapInArrow(_count(p), "shard int, blob binary")
-    second = counted.groupBy("shard").applyInArrow(_grams(folder, p), "shard int, blob binary, " + ", ".join(f"{n} bigint" for n in _COUNTS))
+    parted = counted.repartitionById(p.parts, F.col("shard") % p.parts).sortWithinPartitions("shard")
+    second = parted.mapInArrow(_grams(folder, p), "shard int, blob binary, " + ", ".join(f"{n} bigint" for n in _COUNTS))
     names = _COUNTS + _WORD_SUMS
     last = second.groupBy("shard").applyInArrow(_finish(folder), ", ".join(f"{n} bigint" for n in names))
     s = last.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).first()
@@ -541,7 +628,7 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     p, at = model.plan, lambda name: os.path.join(model.folder, name)
     words, where = np.unique(np.concatenate((v, w)), return_inverse=True)
     rows = np.zeros(len(words), WORD_DT)
-    for s, pick in _groups(key_shard(words, p.shards)):
+    for s, pick in _groups(key_shard(words, p.parts)):
         have = _mapped(at(f"w{s}.key"), "<u8")
         if len(have):
             k = np.minimum(np.searchsorted(have, words[pick]), len(have) - 1)
@@ -553,21 +640,23 @@ def probabilities(model: Model, u: np.ndarray, v: np.ndarray, w: np.ndarray) ->
     n2, n3 = np.zeros(len(v), np.int64), np.zeros(len(v), np.int64)
     context, stats, hot = pair_key(u, v), np.zeros(len(v), STAT_DT), p.is_hot(v)
     triple = triple_key(context, w)
-    for s, pick in _groups(shard):
-        n2[pick] = _count_of(at(f"b{s}"), pair[pick])
+    subs = shard // p.parts
+    for s, pick in _groups(shard % p.parts):
+        n2[pick] = _count_of(at(f"b{s}"), pair[pick], subs[pick])
         if p.order > 2:
-            n3[pick] = _count_of(at(f"t{s}"), triple[pick])
+            n3[pick] = _count_of(at(f"t{s}"), triple[pick], subs[pick])
             cold = pick[~hot[pick]]
-            stats[cold] = _stats_of(at(f"c{s}"), context[cold])
+            stats[cold] = _stats_of(at(f"c{s}"), context[cold], subs[cold])
     p2 = _mixed(n2, rows[a], model.d2, p1)
     if p.order == 2:
         return p2
     some = np.flatnonzero(hot)
-    for s, pick in _groups(key_shard(context[some], p.shards)):
+    for s, pick in _groups(key_shard(context[some], p.parts)):
         stats[some[pick]] = _stats_of(at(f"h{s}"), context[some[pick]])
     some = np.flatnonzero(stats["total"] == 0)
-    for s, pick in _groups(p.shard(u[some], v[some])):
-        once = some[pick[_count_of(at(f"b{s}"), context[some[pick]]) > 0]]
+    shard = p.shard(u[some], v[some])
+    for s, pick in _groups(shard % p.parts):
+        once = some[pick[_count_of(at(f"b{s}"), context[some[pick]], shard[pick] // p.parts) > 0]]
         stats["total"][once] = stats["n1"][once] = 1
     return _mixed(n3, stats, model.d3, p2)
 

@@ -1,5 +1,7 @@
 import math
+import os
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -98,6 +100,45 @@ def test_frequent_words_change_placement_only(spark, sf):
     assert len(set(p.shard(np.full(100, p.hot[0]), w))) == p.spread[0] and len(set(p.shard(np.full(100, 7, np.uint64), w))) == 1
 
 
+def test_many_shards_in_few_files(spark, sf, monkeypatch):
+    """Shards follow the input's size; files, and look-ups of a block of words, follow its root."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(150).cache()
+    rows, shards = docs.collect(), 700
+    model = L.train(docs, shards=shards)
+    brute, got = Brute([r.text for r in rows], 3), {r.doc_id: r.log_prob for r in L.score(docs, model).collect()}
+    for r in rows:
+        assert got[r.doc_id] == pytest.approx(brute.log_prob(r.text), rel=1e-9)
+    calls, search = [], L._search
+    monkeypatch.setattr(L, "_search", lambda *a: calls.append(1) or search(*a))
+    u, v, w, _ = next(L.events(pa.array([r.text for r in rows])))
+    assert len(set(model.plan.shard(v, w).tolist())) > 600
+    L.probabilities(model, u, v, w)
+    assert len(calls) < 8 * 110 and len({f.name.split(".")[0] for f in os.scandir(model.folder) if f.name.startswith("t")}) <= 2 * 110
+    assert not [f.name for f in os.scandir(model.folder) if f.name.startswith(".t")]
+
+
+def test_counting_costs_little_more_with_many_shards():
+    words = np.random.default_rng(0).zipf(1.3, 100_000) % 30_000
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{x}" for x in words)])], ["text"])
+    took, rows = {}, {}
+    for shards in (50, 3000):
+        p = L.plan([batch.column(0)[0].as_py()[:20_000]], shards)
+        for _ in range(3):
+            began = time.process_time()
+            got = list(L._count(p)([batch]))
+            took[shards] = min(took.get(shards, 9e9), time.process_time() - began)
+        blobs = {k: x for b in got for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        parts = [L.unpack(x, p.codes) for x in blobs.values()]
+        for k, x in zip(blobs, parts):
+            assert (p.shard(x[1], x[2]) == k).all()
+        both = L.unpack_all(list(blobs.values()), p.codes)
+        for i in range(4):
+            assert (both[i] == np.concatenate([x[i] for x in parts])).all()
+        rows[shards] = sorted(zip(*(x.tolist() for x in both)))
+    assert rows[50] == rows[3000] and sum(r[3] for r in rows[50]) == 100_001
+    assert took[3000] < 3 * took[50]
+
+
 def test_packing():
     rng = np.random.default_rng(0)
     u, v, w = (rng.integers(0, n, 5000).astype(np.uint64) << np.uint64(20) for n in (30, 50, 300))
@@ -108,6 +149,18 @@ def test_packing():
             assert (a == b).all()
 
 
+def test_arrays_of_several_subs(tmp_path):
+    rng = np.random.default_rng(1)
+    keys = np.unique(rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2))
+    sub, c = rng.choice([0, 3, 4], len(keys)), rng.choice([1, 2, 700], len(keys))
+    with L.Files(str(tmp_path)) as files:
+        for k in (0, 1, 3, 4):  # the second is empty, the third isn't there
+            L._save_counts(files, "x", keys[sub == k], c[sub == k], k)
+    assert (L._count_of(f"{tmp_path}/x", keys, sub) == c).all()
+    for other in ((sub == 0) * 3, np.full(len(keys), 1), np.full(len(keys), 2), np.full(len(keys), 9)):
+        assert not L._count_of(f"{tmp_path}/x", keys, other).any()
+
+
 @pytest.mark.parametrize("n", [0, 1, 9, 5000])
 def test_arrays_on_disk(tmp_path, n):
     rng = np.random.default_rng(n)
