@@ -1,30 +1,10 @@
-"""SimHash near-duplicates with pigeonring filtering.
+"""SimHash near-duplicates, found exactly among all codes.
 
 A document's 128-bit code sums, over its distinct lower-cased words weighted by
 the square root of their count, one pseudo-random sign vector per word. Two
 documents are near duplicates when their codes differ in at most 20 bits.
 
-Search is exact. Of the 16 bytes of two codes within 20 bits, call one that
-differs in both its halves of 4 bits broken; it takes 2 bits at least.
-* Two bytes or more agree: the pair meets in the bucket of the first of them,
-  (byte, value of the byte), at the value of the second.
-* One byte agrees: the other 15 differ, so 5 are broken at most. They break 5 of
-  the 7 pairs of bytes (segments) elsewhere, so of any 6 one is whole: it has an
-  equal half in both of its bytes, and these halves are looked up in the bucket.
-* None agrees: 4 bytes are broken at most, so of any 6 segments two are whole.
-  Codes are routed by the halves of the first 5 segments as well, and in such a
-  bucket the halves of a later one among the first 6 are looked up.
-A bucket's codes are compared in blocks, all with all: a cell of a block is an
-exclusive or and a count of bits over contiguous arrays, some tenth of what it costs
-to form a single pair. Only a bucket that is large for its number of look-ups (DENSE
-codes for each) is split by them, and then its groups are blocks. What meets in groups
-of FEW codes or less is formed singly and pruned by the pigeonring: on the ring of 8
-segments of 16 bits, a pair within 20 bits has a segment from which on every chain of
-l consecutive segments differs in at most l * 20 / 8 bits, so that chains of one, two
-and three segments must stay within 2, 5 and 7 bits from a common start. Few unrelated
-pairs do, and only what does gets the full Hamming check. (Chains can't do the routing
-too at this distance: they start at segments that differ in up to 2 bits, which 0.017
-of all pairs have.)
+Search is exact; nearcodes has it.
 
 Groups are the connected components of the pairs. A bucket emits a spanning
 star per component, never its pairs, so that copies by the thousand stay linear
@@ -52,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
 from tabsift.llm import kernels as K
+from tabsift.llm import nearcodes
 from tabsift.llm.common import col, free_name, key_type, shared_dir, stash
 
-#: The routing above holds for 20 bits or fewer.
-BITS, SEGMENTS, MAX_DISTANCE, CHAIN = 128, 8, 20, 3
+BITS, SEGMENTS, MAX_DISTANCE, CHAIN = 128, 8, nearcodes.DISTANCE, 3
 #: Each choice of a half from both bytes of a segment; kinds of buckets are the bytes, then halves of the first 5 segments.
 _HALVES = [(0xF0, 0xF0), (0xF0, 0x0F), (0x0F, 0xF0), (0x0F, 0x0F)]
 _WHOLE = [(s, h) for s in range(5) for h in range(4)]
@@ -114,6 +94,32 @@ def coded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return picked.mapInArrow(_coded, f"doc_id {key_type(picked, 'doc_id')}, th bigint, code binary")
 
 
+# The search below, from _half to pairs_in_bucket, is the one before nearcodes. No query
+# uses it; it stays as a second exact search, by other routes, that tests compare with.
+#
+# Search is exact. Of the 16 bytes of two codes within 20 bits, call one that
+# differs in both its halves of 4 bits broken; it takes 2 bits at least.
+# * Two bytes or more agree: the pair meets in the bucket of the first of them,
+#   (byte, value of the byte), at the value of the second.
+# * One byte agrees: the other 15 differ, so 5 are broken at most. They break 5 of
+#   the 7 pairs of bytes (segments) elsewhere, so of any 6 one is whole: it has an
+#   equal half in both of its bytes, and these halves are looked up in the bucket.
+# * None agrees: 4 bytes are broken at most, so of any 6 segments two are whole.
+#   Codes are routed by the halves of the first 5 segments as well, and in such a
+#   bucket the halves of a later one among the first 6 are looked up.
+# A bucket's codes are compared in blocks, all with all: a cell of a block is an
+# exclusive or and a count of bits over contiguous arrays, some tenth of what it costs
+# to form a single pair. Only a bucket that is large for its number of look-ups (DENSE
+# codes for each) is split by them, and then its groups are blocks. What meets in groups
+# of FEW codes or less is formed singly and pruned by the pigeonring: on the ring of 8
+# segments of 16 bits, a pair within 20 bits has a segment from which on every chain of
+# l consecutive segments differs in at most l * 20 / 8 bits, so that chains of one, two
+# and three segments must stay within 2, 5 and 7 bits from a common start. Few unrelated
+# pairs do, and only what does gets the full Hamming check. (Chains can't do the routing
+# too at this distance: they start at segments that differ in up to 2 bits, which 0.017
+# of all pairs have.)
+
+
 def _half(code: np.ndarray, segment: int, h: int) -> np.ndarray:
     """One half of both bytes of a segment, as a byte."""
     a, b = _HALVES[h]
@@ -124,7 +130,7 @@ def _half(code: np.ndarray, segment: int, h: int) -> np.ndarray:
 def _routes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each code 36 times, under the bucket of each of its bytes and of the halves of its first segments."""
     for b in batches:
-        code = _bytes(b.column(0))
+        code = nearcodes.as_bytes(b.column(0))
         n = len(code)
         kinds = np.hstack([code, *(_half(code, s, h)[:, None] for s, h in _WHOLE)])
         bucket = (np.arange(_KINDS, dtype=np.int32)[None, :] * 256 + kinds).reshape(-1)
@@ -223,33 +229,6 @@ def pairs_in_bucket(code: np.ndarray, kind: int) -> Iterator[tuple[np.ndarray, n
         yield tuple(map(np.concatenate, zip(*parts)))
 
 
-def _bytes(raw: pa.Array) -> np.ndarray:
-    """Codes of a column as an array of n x 16 bytes."""
-    return K.buffers(raw.cast(pa.binary()).view(pa.string()))[0].reshape(-1, 16)
-
-
-def _star(key: tuple, table: pa.Table) -> pa.Table:
-    """A spanning star of each component among the codes of a bucket."""
-    raw = table.column("code").combine_chunks()
-    code = _bytes(raw)
-    label = np.arange(len(code))
-    for i, j in pairs_in_bucket(code, key[0].as_py() // 256):
-        while True:
-            a, b = label[i], label[j]
-            ok = a != b
-            if not ok.any():
-                break
-            i, j, a, b = i[ok], j[ok], a[ok], b[ok]
-            np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-            while True:
-                up = label[label]
-                if (up == label).all():
-                    break
-                label = up
-    moved = np.flatnonzero(label != np.arange(len(code)))
-    return pa.table({"a": raw.take(pa.array(moved)), "b": raw.take(pa.array(label[moved]))}, schema=pa.schema([("a", pa.binary()), ("b", pa.binary())]))
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(a, b): every node of an edge list with b, the least node of its component; b itself isn't listed.
 
@@ -275,7 +254,7 @@ def grouped(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, th, keep_id, keep_th) for each document in a group of two or more, with the document that stays."""
     code = stash(coded(docs, id_col, text_col))
     unique = code.select("code").distinct()
-    edges = unique.mapInArrow(_routes, "bucket int, code binary").groupBy("bucket").applyInArrow(_star, "a binary, b binary")
+    edges = unique.mapInArrow(nearcodes.routes, "bucket int, code binary").groupBy("bucket").applyInArrow(nearcodes.star, "a binary, b binary")
     labels = components(edges)
     named = code.distinct().join(labels, F.col("code") == F.col("a"), "left").select("doc_id", "th", F.coalesce("b", "code").alias("c"))
     keeper = named.groupBy("c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th")).alias("k")).filter("n > 1")
