@@ -90,11 +90,12 @@ def symmetrize(comparisons: DataFrame) -> DataFrame:
     """Differences alternate in sign by their rank, in the order of study and t, odd ranks being positive.
 
     Ranks are within a study, on from the rows of the studies before it; only
-    the studies' counts, one row for each, are summed up in one place.
+    the studies' counts, one row for each, are summed up in one place. Nulls of
+    t come last, as in the SQL, and rows of no study are neither ranked nor kept.
     """
     before = F.sum("__n").over(Window.orderBy("pmcid").rowsBetween(Window.unboundedPreceding, -1))
-    starts = comparisons.groupBy("pmcid").agg(F.count(F.lit(1)).alias("__n")).select("pmcid", F.coalesce(before, F.lit(0)).alias("__before"))
-    nth = F.row_number().over(Window.partitionBy("pmcid").orderBy("t", "row"))
+    starts = comparisons.filter("pmcid IS NOT NULL").groupBy("pmcid").agg(F.count(F.lit(1)).alias("__n")).select("pmcid", F.coalesce(before, F.lit(0)).alias("__before"))
+    nth = F.row_number().over(Window.partitionBy("pmcid").orderBy(F.asc_nulls_last("t"), "row"))
     odd = (F.col("__before") + nth) % 2 == 1
     flip = lambda c: F.when(F.col("odd"), F.abs(c)).otherwise(-F.abs(c))
     return comparisons.join(starts, "pmcid").withColumn("odd", odd).withColumns({"mdiff": flip("mdiff"), "t": flip("t")}).drop("odd", "__before")

@@ -68,7 +68,9 @@ def m4_study_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""SELECT pmcid, round("row", 6) AS "row", round(CASE WHEN row_number() OVER (ORDER BY pmcid, t, "row") % 2 = 1 THEN abs(t) ELSE -abs(t) END, 6) AS t FROM ({bridge.compare_sql(bridge.LINEITEM_SQL)})"""
 )
 def m5_symmetrize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(comparisons.symmetrize(comparisons.compare(bridge.lineitem_table(spark, sf_dir), p_values=False)).select("pmcid", "row", "t"))
+    flipped = comparisons.symmetrize(comparisons.compare(bridge.lineitem_table(spark, sf_dir), p_values=False))
+    # F.round() makes 0 of -0 and of small negative numbers, DuckDB's round -0: the sign is given back after it
+    return flipped.select("pmcid", F.round("row", 6).alias("row"), (F.round(F.abs("t"), 6) * F.signum("t")).alias("t"))
 
 
 _TWO = """SELECT pmcid, "row", "column", 'percent' AS statistic, x AS stat1, 100 * x / n AS stat2, NULL::DOUBLE AS stat3, NULL::DOUBLE AS stat4, 0 AS dp1, 0 AS dp2, n AS sample_size FROM (

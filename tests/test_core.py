@@ -1,5 +1,6 @@
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from tabsift.functions import stats
 from tabsift.functions.text import repair_numbers, sample_size_in
 from tabsift.operators import comparisons, features, posterior, rules
 from tabsift.operators.tables import interpret
+from tabsift.plans import ORACLE, QUERIES
 from tabsift.plans.golden import _wrap
 
 TABLE = "pmcid string, row double, column int, statistic string, stat1 double, stat2 double, stat3 double, stat4 double, dp1 int, dp2 int, sample_size double"
@@ -45,6 +47,23 @@ def test_three_groups_become_three_pairs(spark):
     assert [(r.row, r.a.column, r.b.column) for r in got] == [(2.0, 1, 2), (pytest.approx(2 + 1 / 3), 1, 3), (pytest.approx(2 + 2 / 3), 2, 3)]
 
 
+def test_symmetrized_zeros_and_nulls_are_those_of_sql(spark, tmp_path):
+    lines = [
+        # study, group, quantity, price, discount and tax
+        *[(1, g, *v) for g, v in (("A", (1.0, 1.0, 4.0, 1.0)), ("A", (3.0, 2.0, 6.0, 3.0)), ("N", (2.0, 7.0, 1.0, 2.0)), ("N", (2.0, 9.0, 2.0, 2.0)))],  # t is 0 at the ranks 2 and 3
+        *[(2, g, *v) for g, v in (("A", (5.0, 1.0, 4.0, 1.0)), ("A", (5.0, 2.0, 6.0, 3.0)), ("N", (7.0, 7.0, 1.0, 5.0)), ("N", (7.0, 9.0, 2.0, 2.0)))],  # no spread, so that t is null
+        *[(None, g, *v, None) for g, v in (("A", (1.0, 1.0, 4.0)), ("A", (2.0, 3.0, 6.0)), ("N", (7.0, 1.0, 1.0)), ("N", (9.0, 2.0, 2.0)))],  # three rows of no study
+    ]
+    names = "l_suppkey bigint, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    spark.createDataFrame(lines, names).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    want = con.execute(ORACLE["m5_symmetrize"]).fetchall()
+    got = QUERIES["m5_symmetrize"](spark, str(tmp_path)).select("pmcid", "row", "t").collect()
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got)
+    assert "('1', 1.0, -0.0)" in map(repr, want) and "('2', 1.0, None)" in map(repr, want)
+
+
 @pytest.mark.parametrize(
     "cells, want",
     [
